@@ -1,0 +1 @@
+"""No streaming operators: every job here is one batch that replaces its output."""
