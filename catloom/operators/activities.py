@@ -7,6 +7,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catloom.functions import fixed, text
 from catloom.functions.ranking import order_text, rank_in_group
@@ -37,7 +38,7 @@ def never_run(activities: DataFrame, ordered: DataFrame) -> DataFrame:
     return activities.join(ordered.select("pipeline_id", "ord"), ["pipeline_id", "ord"], "left_anti")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _positions(names: pd.Series, waits: pd.Series) -> pd.Series:
     """Row indices in run order for each list of activity names and their predecessors."""
 

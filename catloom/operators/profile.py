@@ -43,6 +43,8 @@ def _sample(field: T.StructField, how: str) -> Column:
         return text.cut(F.first(col, ignorenulls=True), fixed.SAMPLE_CHARS)
     if not _orderable(kind):
         return F.min(F.substring(F.to_json(col), 1, fixed.SAMPLE_CHARS))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        col = (col + F.lit(0.0)).cast(kind)  # one form of zero
     return text.cut(F.min(col), fixed.SAMPLE_CHARS)
 
 

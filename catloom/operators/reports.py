@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catloom.functions import fixed, text
 from catloom.functions.ranking import ROWS_PER_TASK, keep_last, rank_in_group
@@ -22,7 +23,7 @@ _FLAT_REF = r'"SourceRef"\s*:\s*(\{[^{}]*\})'
 _ENTITY = r'"Entity"\s*:\s*"([^"]*)"'
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _entities_any_depth(documents: pd.Series) -> pd.Series:
     """Source entities of JSON texts at any depth; null texts and bad JSON give an empty list."""
 

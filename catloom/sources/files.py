@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catloom.functions import text
 
@@ -96,7 +97,7 @@ def member_texts(members: DataFrame) -> DataFrame:
     )
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def json_in_some_encoding(bodies: pa.Array) -> pa.Array:
     """Bytes as the first decoding that is JSON: UTF-16-LE, UTF-8 with or without a byte order mark; else null."""
 
