@@ -208,7 +208,8 @@ def layer_transitions(ordered: DataFrame, tables: DataFrame, artifacts: DataFram
     Pipelines first; then notebook names, unless a pipeline already covers that write layer; then
     dataflow names.
     """
-    piped = pipeline_transitions(ordered, tables)
+    ordered = cut_lineage(ordered.select("pipeline_ord", "pipeline_id", "position", "name", "notebook_id"))
+    piped = cut_lineage(pipeline_transitions(ordered, tables))
     open_items = (
         artifacts.withColumn("_t", name_transition(F.col("display_name")))
         .where(F.col("_t").isNotNull())

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.functions import fixed, text
+from catloom.session import cut_lineage
 
 ALL_SILVER, ALL_BRONZE, BRONZE_FILES = "all_silver", "all_bronze", "bronze_files"
 # Copies of a shared input set when it is expanded, so no single task holds all of its pairs.
@@ -87,13 +88,13 @@ def fallback_writers(
     names = artifacts.where(F.col("type").isin("Notebook", *fixed.DATAFLOW_TYPES)).select(
         F.col("id").alias("artifact_id"), "display_name"
     )
-    writers = (
+    writers = cut_lineage(
         transitions.where(F.col("write_layer") == layer)
         .join(names, "artifact_id", "left")
         .select("artifact_id", F.coalesce("display_name", "artifact_id").alias("writer_name"), "ins")
     )
     domains = orphans.select("lh_id", text.container_domain(F.col("output_lh"), layer).alias("domain")).distinct()
-    matched = domain_writers(domains, writers).join(writers.select("artifact_id", "ins"), "artifact_id")
+    matched = cut_lineage(domain_writers(domains, writers).join(writers.select("artifact_id", "ins"), "artifact_id"))
     order = F.struct(F.col("ins.block").alias("a"), F.col("ins.major").alias("b"), F.col("ins.minor").alias("c"))
     by_domain = orphans.join(matched, "lh_id").select(
         *layered.columns, "artifact_id", order.alias("writer_ord"), F.lit(False).alias("parsed")
@@ -134,6 +135,7 @@ def _carried(pairs: DataFrame) -> DataFrame:
     Once a writer without reads was met, the changed confidence and note stay for the writers after it.
     """
     keys = ["lh_id", "out_ord"]
+    pairs = cut_lineage(pairs)
     shared = pairs.groupBy(*keys).agg(
         F.min_by("source_method", "writer_ord").alias("_method"),
         F.min(F.when(~F.col("has_reads"), F.col("writer_ord"))).alias("_turn"),

@@ -11,6 +11,7 @@ from catloom.functions import fixed
 from catloom.functions.ranking import order_text, rank_in_group
 from catloom.operators import activities as A
 from catloom.operators import code_refs, edges, items
+from catloom.session import cut_lineage
 from catloom.sources.definitions import activities_of, local_scripts
 
 
@@ -97,12 +98,16 @@ def collect_workspace(inputs: WorkspaceInputs, layers: str | None = None, mode:
         F.col("id").alias("pipeline_id"), F.col("ord").alias("pipeline_ord")
     )
     acts = activities_of(inputs.pipelines.join(orchestrations, "pipeline_id"))
-    ordered = A.run_order(acts)
-    sources = code_refs.source_references(artifacts, inputs.parts, local_scripts(inputs.local_files), mode)
+    ordered = cut_lineage(A.run_order(acts))
+    # Each of these is read many times below; source texts are scanned once.
+    tables, artifacts, containers = cut_lineage(tables), cut_lineage(artifacts), cut_lineage(containers)
+    sources = cut_lineage(
+        code_refs.source_references(artifacts, inputs.parts, local_scripts(inputs.local_files), mode)
+    )
     transitions = A.layer_transitions(ordered, tables, artifacts)
 
-    gold = edges.gold_edges(containers, tables, artifacts, sources, transitions)
-    silver = edges.silver_edges(containers, tables, artifacts, sources, transitions)
+    gold = cut_lineage(edges.gold_edges(containers, tables, artifacts, sources, transitions))
+    silver = cut_lineage(edges.silver_edges(containers, tables, artifacts, sources, transitions))
     return Collection(
         artifacts=artifacts.where(F.col("type").isin(fixed.DOCUMENTED_TYPES)),
         containers=containers,

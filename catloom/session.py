@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +26,26 @@ def build_session(master: str | None = None, app: str = "catloom", **extra: str)
     return builder.getOrCreate()
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder of spark.checkpoint.dir; only a local session may fall back to its own folder."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder spark.checkpoint.dir names; only a local session may fall back to its own folder."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="catloom-"))
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="catloom-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps start from files that outlive any executor."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the checkpoint folder and go on from the files.
+
+    The steps before run once however often the result is used, a lost executor costs only its own tasks, and
+    the planner sees true sizes and prunes columns.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

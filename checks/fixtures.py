@@ -49,7 +49,7 @@ SELECT l_orderkey AS pipeline_id, l_linenumber AS ord,
        CASE WHEN l_linenumber > 1 THEN concat('act_', CAST(l_linenumber - 1 AS STRING), CASE (l_linenumber - 1) % 4 WHEN 1 THEN '_silver' WHEN 2 THEN '_gold' ELSE '' END) ELSE NULL END AS depends_on
 FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "fx_measures": """
-SELECT concat('ds-', CAST(l_suppkey % 50 AS STRING)) AS dataset_id, concat('Measures ', CAST(l_suppkey % 5 AS STRING)) AS measure_group,
+SELECT concat('ds-', CAST(l_suppkey % 50 AS STRING)) AS dataset_id, concat('Measures ', CAST(l_partkey AS STRING)) AS measure_group,
        l_linenumber % 3 AS source_priority,
        concat('SUM(t_', CAST(l_partkey - l_partkey % 2 AS STRING), '[qty]) / COUNTROWS(T_', CAST(l_orderkey % 100 AS STRING), ') + CALCULATE(''fact t''[x])') AS expr
 FROM lineitem""",
@@ -57,7 +57,7 @@ FROM lineitem""",
 SELECT concat('r-', CAST(o_custkey AS STRING)) AS report_id,
        concat('Rep/definition/pages/p-', CAST(l_orderkey AS STRING), '/visuals/v', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '/visual.json') AS path,
        concat('{"visual":{"visualType":"', CASE l_linenumber % 5 WHEN 0 THEN 'textbox' WHEN 1 THEN 'barChart' WHEN 2 THEN 'card' WHEN 3 THEN 'tableEx' ELSE 'customVisual' END,
-              '","query":{"a":[{"SourceRef":{"Entity":"T_', CAST(l_partkey - l_partkey % 2 AS STRING), '"}},{"SourceRef":{"Entity":"Measures ', CAST(l_suppkey % 5 AS STRING), '"}}]}}}') AS payload
+              '","query":{"a":[{"SourceRef":{"Entity":"T_', CAST(l_partkey - l_partkey % 2 AS STRING), '"}},{"SourceRef":{"Entity":"Measures ', CAST(l_partkey AS STRING), '"}}]}}}') AS payload
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "fx_files": """
 SELECT concat('lh-', CAST(page_id % 10 AS STRING)) AS lh_id, concat('lh-', CAST(page_id % 10 AS STRING), '/Files/d', CAST(page_id % 3 AS STRING), '/f', CAST(page_id AS STRING), '.html') AS name,
@@ -122,7 +122,7 @@ SELECT concat('F_', CAST(o_custkey AS STRING), '/F_', CAST(o_custkey AS STRING),
        concat('F_', CAST(o_custkey AS STRING), '/F_', CAST(o_custkey AS STRING), '.Report/definition/pages/p-', CAST(l_orderkey AS STRING), '/visuals/v', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '/visual.json') AS path,
        concat('{"visual":{"visualType":"', CASE l_linenumber % 5 WHEN 0 THEN 'textbox' WHEN 1 THEN 'barChart' WHEN 2 THEN 'card' WHEN 3 THEN 'tableEx' ELSE 'customVisual' END,
               CASE WHEN l_returnflag = 'R' THEN concat('","visualContainerObjects":{"title":[{"properties":{"text":{"expr":{"Literal":{"Value":"''Title ', CAST(l_partkey AS STRING), '''"}}}}}]},"x":"') ELSE '' END,
-              '","query":{"a":[{"SourceRef":{"Entity":"T_', CAST(l_partkey - l_partkey % 2 AS STRING), '"}},{"SourceRef":{"Entity":"Measures ', CAST(l_suppkey % 5 AS STRING), '"}}]}}}') AS content
+              '","query":{"a":[{"SourceRef":{"Entity":"T_', CAST(l_partkey - l_partkey % 2 AS STRING), '"}},{"SourceRef":{"Entity":"Measures ', CAST(l_partkey AS STRING), '"}}]}}}') AS content
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "fx_model_reports": """
 SELECT c_custkey AS ord, concat('r-', CAST(c_custkey AS STRING)) AS report_id, c_name AS name,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catloom.functions import text
 from catloom.operators import activities as A
 from catloom.operators import code_refs, docs, edges, items
+from catloom.session import cut_lineage
 from checks.compose import STEPS, with_fixtures
 from checks.fixtures import fixture, table
 
@@ -47,7 +48,9 @@ def _transitions(s, d) -> DataFrame:
 
 
 def lineage_inputs(s, d) -> tuple[DataFrame, ...]:
-    return fixture(s, d, "fx_containers"), fixture(s, d, "fx_tables"), fixture(s, d, "fx_artifacts"), _sources(s, d), _transitions(s, d)
+    """Containers, tables, artifacts, sources, transitions. The extracted references are used many times."""
+    sources, transitions = cut_lineage(_sources(s, d)), _transitions(s, d)
+    return fixture(s, d, "fx_containers"), fixture(s, d, "fx_tables"), fixture(s, d, "fx_artifacts"), sources, transitions
 
 
 def lineage_files(s, d) -> DataFrame:
