@@ -34,25 +34,21 @@ def rank_in_group(
     order: str,
     out: str,
     *,
-    probe: DataFrame | None = None,
-    probe_keys: list[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Row number (from 1) by the text column ``order``, unique within each group of non-null keys.
 
-    A probe looks for groups above ``rows_per_task``; ``probe`` may be a cheaper frame holding
-    ``probe_keys`` (a subset of ``keys``) and ``order``. Such groups are cut into ranges by the
-    first characters after the prefix all their values share; each range is ranked by itself and
-    shifted by the row counts of the ranges before it. All other groups take the plain window.
+    A count first looks for groups above ``rows_per_task``, so ``df`` should be cheap to read again.
+    Such groups are cut into ranges by the first characters after the prefix all their values share;
+    each range is ranked by itself and shifted by the row counts of the ranges before it. All other
+    groups take the plain window.
     """
-    base = probe if probe is not None else df
-    pkeys = probe_keys or keys
     large = (
-        base.groupBy(*pkeys)
+        df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
         .where(F.col("_n") > rows_per_task)
         .select(
-            *pkeys,
+            *keys,
             _shared_prefix(F.col("_lo"), F.col("_hi")).alias("_skip"),
             (F.ceil(F.log10(F.col("_n") / rows_per_task)) + 1).cast("int").alias("_width"),
         )
@@ -62,7 +58,7 @@ def rank_in_group(
         return df.withColumn(out, F.row_number().over(plain).cast("long"))
 
     # At most one row per rows_per_task input rows, so the broadcast is bounded.
-    tagged = df.join(F.broadcast(large), pkeys, "left").withColumn(
+    tagged = df.join(F.broadcast(large), keys, "left").withColumn(
         "_range",
         F.coalesce(F.substr(F.col(order), F.col("_skip") + 1, F.col("_width")), F.lit("")),
     )

@@ -25,6 +25,8 @@ def expression_tables(exprs: DataFrame, keys: list[str], known: DataFrame, mode:
     names = known.select(F.col("known").alias("physical_table"))
     plain = words.join(names, "physical_table", "left_semi").select(*keys, "physical_table")
     odd = names.where(~F.col("physical_table").rlike(r"^[a-z0-9_]+$") & (F.col("physical_table") != ""))
+    if odd.isEmpty():  # the usual case; spares a second pass over the texts
+        return plain
     return plain.unionByName(_odd_names(exprs, keys, odd)).distinct()
 
 

@@ -69,32 +69,40 @@ def page_of_path(path: Column, archive: bool = False) -> Column:
     return text.blank_to_null(F.regexp_extract(path, _ARCHIVE_VISUAL_PATH if archive else _VISUAL_PATH, 1))
 
 
-def visual_documents(parts: DataFrame, archive: bool = False) -> DataFrame:
-    """Visual files that parse: report_id, page_id, path, content and the parsed ``doc``."""
-    return (
-        parts.withColumn("page_id", page_of_path(F.col("path"), archive))
-        .where(F.col("page_id").isNotNull())
-        .withColumn("doc", F.try_parse_json("content"))
-        .where(F.col("doc").isNotNull())
+def report_facts(parts: DataFrame, archive: bool = False) -> DataFrame:
+    """What the other functions need of all visual and page-list files, in one pass and without a shuffle.
+
+    Rows with a ``page_id`` are visuals (``visual_type``, ``title``, ``entities``); rows with ``page_order`` are
+    page lists. Files that do not parse give no row. Keep the result (``session.cut_lineage``) when it is used
+    more than once: it is far smaller than the texts.
+    """
+    is_list = F.endswith("path", F.lit("pages.json"))
+    page = page_of_path(F.col("path"), archive)
+    wanted = parts.select("report_id", "path", "content", page.alias("page_id")).where(F.col("page_id").isNotNull() | is_list)
+    parsed = with_entities(wanted.withColumn("doc", F.try_parse_json("content")).where(F.col("doc").isNotNull()))
+    on_visual = F.col("page_id").isNotNull()
+    kind = F.coalesce(F.try_variant_get("doc", "$.visual.visualType", "string"), F.lit("unknown"))
+    return parsed.select(
+        "report_id", "path", "page_id",
+        F.when(on_visual, kind).alias("visual_type"),
+        F.when(on_visual, visual_title(F.col("doc"))).alias("title"),
+        F.when(on_visual, F.col("entities")).alias("entities"),
+        F.when(~on_visual, F.try_variant_get("doc", "$.pageOrder", "array<string>")).alias("page_order"),
     )
 
 
-def page_entities(parts: DataFrame, archive: bool = False) -> DataFrame:
-    """Distinct (report_id, page_id, entity) of all visual files; a page without entities has no row here."""
-    docs = with_entities(visual_documents(parts, archive).select("report_id", "page_id", "content"))
-    return docs.select("report_id", "page_id", F.explode("entities").alias("entity")).distinct()
+def page_entities(facts: DataFrame) -> DataFrame:
+    """Distinct (report_id, page_id, entity) of the visuals."""
+    return facts.select("report_id", "page_id", F.explode("entities").alias("entity")).distinct()
 
 
-def pages_with_visuals(parts: DataFrame, archive: bool = False) -> DataFrame:
-    return visual_documents(parts, archive).select("report_id", "page_id").distinct()
+def pages_with_visuals(facts: DataFrame) -> DataFrame:
+    return facts.where(F.col("page_id").isNotNull()).select("report_id", "page_id").distinct()
 
 
-def listed_pages(parts: DataFrame) -> DataFrame:
-    """Page order lists of ``pages.json`` parts: report_id, page_id, page_ord."""
-    listed = parts.where(F.endswith("path", F.lit("pages.json"))).select(
-        "report_id", F.try_variant_get(F.try_parse_json("content"), "$.pageOrder", "array<string>").alias("_ids")
-    )
-    return listed.select("report_id", F.posexplode("_ids").alias("page_ord", "page_id"))
+def listed_pages(facts: DataFrame) -> DataFrame:
+    """Page lists as rows: report_id, page_id, page_ord."""
+    return facts.select("report_id", F.posexplode("page_order").alias("page_ord", "page_id"))
 
 
 def entity_tables(known: DataFrame, deps: DataFrame) -> DataFrame:
@@ -129,21 +137,21 @@ def page_tables(
 
 
 def definition_page_tables(
-    parts: DataFrame, known: DataFrame, deps: DataFrame, archive: bool = False
+    facts: DataFrame, known: DataFrame, deps: DataFrame, archive: bool = False
 ) -> DataFrame:
-    """Page tables of definition parts or archive members.
+    """Page tables of definition parts or archive members, from their facts.
 
     In definition form a report without any readable visual gives no pages, even when it lists some.
     """
-    seen, listed = pages_with_visuals(parts, archive), listed_pages(parts)
+    seen, listed = pages_with_visuals(facts), listed_pages(facts)
     if not archive:
         listed = listed.join(seen.select("report_id").distinct(), "report_id", "left_semi")
-    return page_tables(page_entities(parts, archive), seen, listed, entity_tables(known, deps))
+    return page_tables(page_entities(facts), seen, listed, entity_tables(known, deps))
 
 
-def exported_page_tables(parts: DataFrame, known: DataFrame, deps: DataFrame) -> DataFrame:
+def exported_page_tables(facts: DataFrame, known: DataFrame, deps: DataFrame) -> DataFrame:
     """Page tables of exported archives with ``Report/definition``: the listed pages only."""
-    inside = parts.where(F.startswith("path", F.lit("Report/definition/pages/")))
+    inside = facts.where(F.startswith("path", F.lit("Report/definition/pages/")))
     listed = listed_pages(inside.where(F.col("path") == "Report/definition/pages/pages.json"))
     return page_tables(page_entities(inside), listed, None, entity_tables(known, deps))
 
@@ -191,32 +199,24 @@ def visual_title(doc: Column) -> Column:
     return F.get(F.filter(texts, lambda t: t != ""), F.lit(0))
 
 
-def named_visuals(parts: DataFrame, archive: bool = True, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def named_visuals(facts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Visuals that are not decoration, with type, name and entities.
 
     A visual without a title takes its type's display name; within a page the second and later ones of a type
     add their number in path order. Numbers count visuals that resolve to no table too.
     """
-    docs = visual_documents(parts, archive)
-    kind = F.coalesce(F.try_variant_get("doc", "$.visual.visualType", "string"), F.lit("unknown"))
-    shown = docs.select(
-        "report_id", "page_id", "path", "content", kind.alias("visual_type"), visual_title(F.col("doc")).alias("_title")
-    ).where(~F.col("visual_type").isin(fixed.DECORATION_TYPES))
-    typed = with_entities(shown).drop("content")
-    # Which pages are large shows from the paths alone.
-    probe = parts.select("report_id", page_of_path(F.col("path"), archive).alias("page_id"), "path").where(
-        F.col("page_id").isNotNull()
-    )
+    shown = facts.where(F.col("page_id").isNotNull() & ~F.col("visual_type").isin(fixed.DECORATION_TYPES))
     # Titled visuals take no number: they form a group of their own beside the untitled ones.
-    marked = typed.withColumn("_titled", F.col("_title").isNotNull())
+    marked = shown.select(
+        "report_id", "page_id", "path", "visual_type", "title", "entities", F.col("title").isNotNull().alias("_titled")
+    )
     ranked = rank_in_group(
-        marked, ["report_id", "page_id", "visual_type", "_titled"], "path", "_n",
-        probe=probe, probe_keys=["report_id", "page_id"], rows_per_task=rows_per_task,
+        marked, ["report_id", "page_id", "visual_type", "_titled"], "path", "_n", rows_per_task=rows_per_task
     )
     base = text.visual_display_name(F.col("visual_type"))
     numbered = F.when(F.col("_n") == 1, base).otherwise(F.concat(base, F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))
     return ranked.select(
-        "report_id", "page_id", "path", F.coalesce("_title", numbered).alias("visual_name"), "visual_type", "entities"
+        "report_id", "page_id", "path", F.coalesce("title", numbered).alias("visual_name"), "visual_type", "entities"
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catloom.operators import graph, items, measures, reports
 from catloom.operators.graph import GraphContext
+from catloom.session import cut_lineage
 from catloom.sources.definitions import stored_measure_deps
 
 
@@ -62,14 +63,17 @@ def report_usage(inputs: ReportInputs, tables: DataFrame, archive_only: bool = F
     stored = None
     if inputs.stored_deps is not None:
         stored = stored_measure_deps(inputs.stored_deps, known)
-    deps = measures.merge_deps(measures.source_deps(inputs.measures, known), datasets, stored)
+    found = cut_lineage(measures.source_deps(inputs.measures, known))
+    deps = cut_lineage(measures.merge_deps(found, datasets, stored))
     resolution = reports.entity_tables(known, deps)
 
     fallbacks = []
     if inputs.definition_parts is not None:
-        fallbacks.append(reports.definition_page_tables(inputs.definition_parts, known, deps))
+        facts = cut_lineage(reports.report_facts(inputs.definition_parts))
+        fallbacks.append(reports.definition_page_tables(facts, known, deps))
     if inputs.exported_parts is not None:
-        fallbacks.append(reports.exported_page_tables(inputs.exported_parts, known, deps))
+        facts = cut_lineage(reports.report_facts(inputs.exported_parts))
+        fallbacks.append(reports.exported_page_tables(facts, known, deps))
     if inputs.layouts is not None:
         fallbacks.append(reports.legacy_page_tables(inputs.layouts, known, deps))
 
@@ -83,12 +87,15 @@ def report_usage(inputs: ReportInputs, tables: DataFrame, archive_only: bool = F
         index = reports.archive_index(inputs.archive_parts).select(
             "model_id", F.concat_ws("!", "archive", "report_folder").alias("report_folder")
         )
-        by_folder = _archive_by_folder(inputs.archive_parts)
-        maps = reports.definition_page_tables(by_folder, known, deps, archive=True).withColumnRenamed(
+        facts = cut_lineage(reports.report_facts(_archive_by_folder(inputs.archive_parts), archive=True))
+        maps = reports.definition_page_tables(facts, known, deps, archive=True).withColumnRenamed(
             "report_id", "report_folder"
         )
-        folder_visuals = reports.named_visuals(by_folder)
-    page_maps = reports.choose_page_tables(inputs.reports, index, maps, own_pages, fallbacks, archive_only)
+        maps, index = cut_lineage(maps), cut_lineage(index)
+        folder_visuals = reports.named_visuals(facts)
+    page_maps = cut_lineage(
+        reports.choose_page_tables(inputs.reports, index, maps, own_pages, fallbacks, archive_only)
+    )
 
     if folder_visuals is None:
         shape = "report_id string, page_id string, path string, visual_name string, visual_type string"
@@ -101,7 +108,7 @@ def report_usage(inputs: ReportInputs, tables: DataFrame, archive_only: bool = F
             .join(index.select(F.col("model_id").alias("_m"), "report_folder"), F.lower("dataset_id") == F.col("_m"))
             .select("report_id", "report_folder")
         )
-        shown = (
+        shown = cut_lineage(
             reports.visual_tables(folder_visuals, resolution)
             .withColumnRenamed("report_id", "report_folder")
             .join(folders, "report_folder")
@@ -128,7 +135,7 @@ def build_graph(
         ctx, artifacts=artifacts, reports=inputs.reports, pages=inputs.pages, visuals=usage.visuals,
         tables=tables, columns=columns,
     )
-    keys = graph.table_keys(tables, inputs.reports, usage.report_containers, usage.page_maps, ctx)
+    keys = cut_lineage(graph.table_keys(tables, inputs.reports, usage.report_containers, usage.page_maps, ctx))
     derived = graph.derivation_edges(ctx, edges, input_sets, keys, artifacts)
     used = graph.usage_edges(
         ctx, usage.visual_tables, inputs.pages, keys, usage.page_maps if page_map_edges else None

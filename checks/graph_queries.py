@@ -126,13 +126,19 @@ FIXTURE_COLUMNS = {
 }
 
 
+def _sample_text(name: str, c: str) -> str:
+    """Of a list the first value is compared: the engines write small floats differently."""
+    whole = f"substring(CAST(min({c}) AS VARCHAR), 1, 200)"
+    return f"split_part({whole}, ',', 1)" if name == "embeddings" else whole
+
+
 def _profile_sql(columns: dict[str, list[str]], sample: bool) -> str:
     """One SELECT per column; the percent is rounded half up in whole-number arithmetic."""
     selects = []
     for name, cols in columns.items():
         for i, c in enumerate(cols):
             tail = (
-                f"regexp_replace(substring(CAST(min({c}) AS VARCHAR), 1, 200), '^-0[.]0$', '0.0') AS sample_value"
+                f"regexp_replace({_sample_text(name, c)}, '^-0[.]0$', '0.0') AS sample_value"
                 if sample
                 else f"count(*) AS row_count, count(*) - count({c}) AS n_null, "
                 f"CAST(((count(*) - count({c})) * 2000 + count(*)) // (2 * count(*)) / 10.0 AS DECIMAL(5,1)) AS pct_null"
@@ -149,7 +155,10 @@ def _profiles(s, d, names, *cols):
 QUERIES |= {
     "profile_columns": lambda s, d: _profiles(s, d, RAW_TABLES, "row_count", "n_null", "pct_null"),
     "profile_nulls": lambda s, d: _profiles(s, d, list(FIXTURE_COLUMNS), "row_count", "n_null", "pct_null"),
-    "profile_sample": lambda s, d: _profiles(s, d, RAW_TABLES, "sample_value"),
+    "profile_sample": lambda s, d: _profiles(s, d, RAW_TABLES, "sample_value").withColumn(
+        "sample_value",
+        F.when(F.col("table_name") == "embeddings", F.substring_index("sample_value", ",", 1)).otherwise(F.col("sample_value")),
+    ),
     "profile_last_updated": lambda s, d: profile.profile_tables(
         {n: fixture(s, d, n) for n in FIXTURE_COLUMNS}
     ).groupBy("table_name").agg(F.max("last_updated_column").alias("last_updated_column"), F.max("last_updated").alias("last_updated")),

@@ -46,8 +46,12 @@ def _metadata_deps(s, d) -> DataFrame:
     return measures.source_deps(measures.with_priority(found), _known(s, d)).select("measure_group", "physical_table")
 
 
-def _parts(s, d) -> DataFrame:
-    return fixture(s, d, "fx_parts").withColumnRenamed("payload", "content")
+def _facts(s, d) -> DataFrame:
+    return cut_lineage(reports.report_facts(fixture(s, d, "fx_parts").withColumnRenamed("payload", "content")))
+
+
+def _archive_facts(s, d) -> DataFrame:
+    return cut_lineage(reports.report_facts(fixture(s, d, "fx_archive_parts"), archive=True))
 
 
 def _pages(s, d) -> DataFrame:
@@ -60,17 +64,17 @@ def _folder_index(s, d) -> DataFrame:
 
 def _page_choice(s, d, deps: DataFrame | None = None) -> DataFrame:
     known, deps = _known(s, d), _deps(s, d) if deps is None else deps
-    maps = reports.definition_page_tables(fixture(s, d, "fx_archive_parts"), known, deps, archive=True)
-    fallback = reports.definition_page_tables(_parts(s, d), known, deps)
+    maps = reports.definition_page_tables(_archive_facts(s, d), known, deps, archive=True)
+    fallback = reports.definition_page_tables(_facts(s, d), known, deps)
     return reports.choose_page_tables(
         fixture(s, d, "fx_model_reports"), _folder_index(s, d).select("model_id", "report_folder"),
-        maps.withColumnRenamed("report_id", "report_folder"), _pages(s, d), [fallback],
+        cut_lineage(maps.withColumnRenamed("report_id", "report_folder")), _pages(s, d), [cut_lineage(fallback)],
     )
 
 
 def _report_visuals(s, d) -> DataFrame:
     """Named visuals under the report whose archive folder it is."""
-    own = reports.named_visuals(fixture(s, d, "fx_archive_parts"))
+    own = reports.named_visuals(_archive_facts(s, d))
     return own.withColumn("report_id", F.concat(F.lit("r-"), F.regexp_extract("report_id", r"^F_(\d+)/", 1)))
 
 
@@ -160,17 +164,17 @@ QUERIES = {
         items.datasource_container(fixture(s, d, "fx_datasets")), L.full_tables(s, d)
     ),
     "dataset_first_report": lambda s, d: items.first_report_of_dataset(fixture(s, d, "fx_datasets")).select("dataset_id", "report_id"),
-    "visual_entities": lambda s, d: reports.page_entities(_parts(s, d)),
-    "page_tables": lambda s, d: reports.definition_page_tables(_parts(s, d), _known(s, d), cut_lineage(_deps(s, d))),
+    "visual_entities": lambda s, d: reports.page_entities(reports.report_facts(fixture(s, d, "fx_parts").withColumnRenamed("payload", "content"))),
+    "page_tables": lambda s, d: reports.definition_page_tables(_facts(s, d), _known(s, d), cut_lineage(_deps(s, d))),
     "legacy_layout_entities": lambda s, d: reports.legacy_entities(fixture(s, d, "fx_layouts")),
     "visuals_named": lambda s, d: reports.visual_tables(
-        reports.named_visuals(fixture(s, d, "fx_archive_parts")),
+        reports.named_visuals(_archive_facts(s, d)),
         reports.entity_tables(_known(s, d), cut_lineage(_deps(s, d))),
     ).groupBy("report_id", "page_id", "path", "visual_name", "visual_type").agg(F.count(F.lit(1)).alias("n_tables")),
     "archive_index": lambda s, d: _folder_index(s, d),
     "page_map_choice": lambda s, d: _page_choice(s, d, cut_lineage(_deps(s, d))),
     "page_map_totals": lambda s, d: reports.map_totals(
-        reports.definition_page_tables(_parts(s, d), _known(s, d), cut_lineage(_deps(s, d))),
+        reports.definition_page_tables(_facts(s, d), _known(s, d), cut_lineage(_deps(s, d))),
         fixture(s, d, "fx_parts").select("report_id", "path"),
     ),
     "objects": lambda s, d: _graph_rows(objects(s, d)),
