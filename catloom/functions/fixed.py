@@ -35,10 +35,12 @@ SAMPLE_CHARS = 200
 NODE_SAMPLE_CHARS = 500
 
 # Code references ----------------------------------------------------------
+# Each pattern with a lower-case text every match holds.
 WRITE_PATTERNS = [
-    r"""\.saveAsTable\s*\(\s*["']([^"']+)["']""",
-    r"""\.writeTo\s*\(\s*["']([^"']+)["']""",
+    (".saveastable", r"""\.saveAsTable\s*\(\s*["']([^"']+)["']"""),
+    (".writeto", r"""\.writeTo\s*\(\s*["']([^"']+)["']"""),
 ]
+SQL_WRITE_TEXT = "spark.sql"
 SQL_WRITE_PATTERN = (
     r"""spark\.sql\s*\(\s*["'].*?(?:INSERT\s+(?:OVERWRITE\s+)?(?:INTO\s+)?"""
     r"""|CREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?)([a-zA-Z_][a-zA-Z0-9_.]+)"""
@@ -49,10 +51,10 @@ SQL_WRITE_PATTERN_STRICT = (
     r"""|CREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?)([a-zA-Z_][a-zA-Z0-9_.]+)"""
 )
 READ_PATTERNS = [
-    r"""spark\.read\.table\s*\(\s*["']([^"']+)["']""",
-    r"""spark\.table\s*\(\s*["']([^"']+)["']""",
-    r"""\.load\s*\(\s*["']([^"']+)["']""",
-    r"""\bFROM\s+([a-zA-Z_][a-zA-Z0-9_.]+)\b""",
+    ("spark.read.table", r"""spark\.read\.table\s*\(\s*["']([^"']+)["']"""),
+    ("spark.table", r"""spark\.table\s*\(\s*["']([^"']+)["']"""),
+    (".load", r"""\.load\s*\(\s*["']([^"']+)["']"""),
+    ("from", r"""\bFROM\s+([a-zA-Z_][a-zA-Z0-9_.]+)\b"""),
 ]
 READ_NOISE = [
     "information_schema", "sys", "dual", "subquery", "cte",
@@ -63,7 +65,7 @@ IMPORT_LINE = r"""(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import\b.*$"""
 
 # Measure expressions ------------------------------------------------------
 DAX_COLUMN_PATTERN = r"""'([^']+)'\s*\[|(\b[A-Za-z_][A-Za-z0-9_ ]*)\["""
-DAX_WORD_PATTERN = r"""(?<![a-z0-9_'"])([a-z0-9_]+)(?![a-z0-9_'"\[])"""
+DAX_WORD_PATTERN = r"""(?<![a-z0-9_'"])[a-z0-9_]++(?!['"\[])"""
 
 # Visuals ------------------------------------------------------------------
 DECORATION_TYPES = [

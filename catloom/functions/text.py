@@ -11,7 +11,7 @@ from catloom.functions import fixed
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.when(col != "", col)
+    return F.nullif(col, F.lit(""))
 
 
 def first_filled(*cols: Column) -> Column:

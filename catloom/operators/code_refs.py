@@ -11,10 +11,11 @@ from catloom.sources.definitions import decode_payload
 
 def script_references(sources: DataFrame, source: str = "source", mode: str = "compat") -> DataFrame:
     """Add ``reads`` and ``writes``; a table a script also writes is not one of its reads."""
-    found = sources.select(
+    folded = sources.select(*sources.columns, refs.case_folded(F.col(source)).alias("_folded"))
+    found = folded.select(
         *sources.columns,
-        refs.script_read_candidates(F.col(source), mode).alias("_read"),
-        refs.script_writes(F.col(source), mode).alias("writes"),
+        refs.script_read_candidates(F.col(source), F.col("_folded"), mode).alias("_read"),
+        refs.script_writes(F.col(source), F.col("_folded"), mode).alias("writes"),
     )
     return found.select(*sources.columns, F.array_except("_read", "writes").alias("reads"), "writes")
 

@@ -57,7 +57,8 @@ def with_entities(docs: DataFrame, content: str = "content") -> DataFrame:
     doc = F.col(content)
     staged = docs.withColumn("_refs", F.regexp_extract_all(doc, F.lit(_FLAT_REF), F.lit(1)))
     escaped = F.exists("_refs", lambda r: F.contains(r, F.lit("\\")))
-    staged = staged.withColumn("_simple", (F.size("_refs") == F.regexp_count(doc, F.lit(_REF_KEY))) & ~escaped)
+    n_keys = (F.length(doc) - F.length(F.replace(doc, F.lit(_REF_KEY), F.lit("")))) / len(_REF_KEY)
+    staged = staged.withColumn("_simple", (F.size("_refs") == n_keys) & ~escaped)
     names = F.transform("_refs", lambda r: F.regexp_extract(r, _ENTITY, 1))
     easy = F.array_distinct(F.filter(names, lambda e: e != ""))
     hard = _entities_any_depth(F.when(~F.col("_simple"), doc))
@@ -73,13 +74,17 @@ def report_facts(parts: DataFrame, archive: bool = False) -> DataFrame:
     """What the other functions need of all visual and page-list files, in one pass and without a shuffle.
 
     Rows with a ``page_id`` are visuals (``visual_type``, ``title``, ``entities``); rows with ``page_order`` are
-    page lists. Files that do not parse give no row. Keep the result (``session.cut_lineage``) when it is used
+    page lists. Files that do not parse give neither. Keep the result (``session.cut_lineage``) when it is used
     more than once: it is far smaller than the texts.
     """
-    is_list = F.endswith("path", F.lit("pages.json"))
-    page = page_of_path(F.col("path"), archive)
-    wanted = parts.select("report_id", "path", "content", page.alias("page_id")).where(F.col("page_id").isNotNull() | is_list)
-    parsed = with_entities(wanted.withColumn("doc", F.try_parse_json("content")).where(F.col("doc").isNotNull()))
+    # Filtered by path alone: a filter on the parsed text would parse it a second time.
+    wanted = parts.where(F.endswith("path", F.lit("visual.json")) | F.endswith("path", F.lit("pages.json")))
+    parsed = with_entities(
+        wanted.select(
+            "report_id", "path", "content", F.try_parse_json("content").alias("doc"),
+            page_of_path(F.col("path"), archive).alias("_page"),
+        )
+    ).withColumn("page_id", F.when(F.col("doc").isNotNull(), F.col("_page")))
     on_visual = F.col("page_id").isNotNull()
     kind = F.coalesce(F.try_variant_get("doc", "$.visual.visualType", "string"), F.lit("unknown"))
     return parsed.select(
@@ -87,7 +92,9 @@ def report_facts(parts: DataFrame, archive: bool = False) -> DataFrame:
         F.when(on_visual, kind).alias("visual_type"),
         F.when(on_visual, visual_title(F.col("doc"))).alias("title"),
         F.when(on_visual, F.col("entities")).alias("entities"),
-        F.when(~on_visual, F.try_variant_get("doc", "$.pageOrder", "array<string>")).alias("page_order"),
+        F.when(
+            F.endswith("path", F.lit("pages.json")), F.try_variant_get("doc", "$.pageOrder", "array<string>")
+        ).alias("page_order"),
     )
 
 

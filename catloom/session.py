@@ -49,3 +49,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of a few files over all cores before costly row-by-row work.
+
+    A table with at least as many files as cores is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *df.columns)

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catloom.session import spread
+
 RAW_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -133,6 +135,10 @@ FROM customer""",
 }
 
 
+# Fixtures of long texts that the operators parse row by row.
+TEXT_FIXTURES = ["fx_sources", "fx_measures", "fx_parts", "fx_archive_parts", "fx_layouts"]
+
+
 def load_raw(spark: SparkSession, sf_dir: str, names: list[str] = RAW_TABLES) -> None:
     """Register the given tables as temporary views under their own names."""
     for name in names:
@@ -146,7 +152,8 @@ def raw_names(sql: str) -> list[str]:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name]
     load_raw(spark, sf_dir, raw_names(sql))
-    return spark.sql(sql)
+    df = spark.sql(sql)
+    return spread(df) if name in TEXT_FIXTURES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
