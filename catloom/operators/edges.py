@@ -24,7 +24,7 @@ from catloom.functions import fixed, text
 from catloom.session import cut_lineage
 
 ALL_SILVER, ALL_BRONZE, BRONZE_FILES = "all_silver", "all_bronze", "bronze_files"
-# Copies of a shared input set when it is expanded, so no single task holds all of its pairs.
+# Least number of parts a shared input set is expanded in, so no single task holds all of its pairs.
 SET_SPLITS = 64
 
 
@@ -257,12 +257,13 @@ def input_sets(containers: DataFrame, tables: DataFrame, files: DataFrame) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-def expand_inputs(edges: DataFrame, sets: DataFrame, splits: int = SET_SPLITS) -> DataFrame:
+def expand_inputs(edges: DataFrame, sets: DataFrame, splits: int | None = None) -> DataFrame:
     """One row per edge and input, with ``ref`` and ``ref_ord``; edges without inputs drop out.
 
     A shared set is joined by its name and a split number: its members are spread over the splits and the
-    edges copied to each, so one set is worked on by many tasks.
+    edges copied to each, so one set is worked on by as many tasks as the session shuffles into.
     """
+    splits = splits or max(SET_SPLITS, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keep = [c for c in edges.columns if c not in ("input_refs", "input_set")]
     own = edges.where(F.col("input_set").isNull()).select(*keep, F.posexplode("input_refs").alias("_p", "ref"))
     own = own.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catloom.operators import profile, views
+from catloom.sources import files
 from checks.compose import with_fixtures
 from checks.fixtures import RAW_TABLES, fixture, table
 
@@ -162,6 +163,10 @@ QUERIES |= {
     "profile_last_updated": lambda s, d: profile.profile_tables(
         {n: fixture(s, d, n) for n in FIXTURE_COLUMNS}
     ).groupBy("table_name").agg(F.max("last_updated_column").alias("last_updated_column"), F.max("last_updated").alias("last_updated")),
+    "catalog_columns": lambda s, d: _profiles(s, d, RAW_TABLES, "datatype"),
+    "file_inventory": lambda s, d: files.list_files(s, d).select(
+        F.substring_index("path", "/", -1).alias("file_name"), "size"
+    ),
     "catalog_counts": lambda s, d: profile.row_counts({n: table(s, d, n) for n in RAW_TABLES}),
 }
 ORACLES |= {
@@ -171,6 +176,12 @@ ORACLES |= {
     "profile_last_updated": with_fixtures("""
 SELECT 'fx_profile_documents' AS table_name, CAST(NULL AS VARCHAR) AS last_updated_column, CAST(NULL AS VARCHAR) AS last_updated
 UNION ALL SELECT 'fx_profile_events', 'updated_at', CAST(max(updated_at) AS VARCHAR) FROM fx_profile_events"""),
+    "catalog_columns": "\nUNION ALL ".join(
+        f"SELECT '{n}' AS table_name, {i} AS ordinal, '{c}' AS col_name, CASE typeof(any_value({c})) WHEN 'BIGINT' THEN 'bigint' "
+        "WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+        f"WHEN 'FLOAT[]' THEN 'array<float>' END AS datatype FROM {n}"
+        for n, cols in TABLE_COLUMNS.items() for i, c in enumerate(cols)
+    ),
     "catalog_counts": "\nUNION ALL ".join(
         f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in RAW_TABLES
     ),
