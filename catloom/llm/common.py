@@ -27,6 +27,9 @@ LETTER_DIGIT_WORDS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 class Kept:
     """Tables written to a folder of their own under spark.checkpoint.dir.
 
+    Counts and minima by a key that may be hot are written before the rows are joined to them: then both sides of the
+    join are plain shuffles, and adaptive execution can split the hot key's partition.
+
     A written table cuts the lineage: a lost executor costs only its running tasks, and a table that is read
     several times is computed once. ``drop`` removes a table that nothing reads any more.
     """

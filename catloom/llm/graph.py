@@ -58,13 +58,15 @@ def components(links: DataFrame, kept: Kept, name: str) -> DataFrame:
             break
         mark, turn = tuple(found), turn + 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = kept.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least-{turn}")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = kept.table(large, f"{name}-large-{turn}")
+        smallest = kept.table(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-smallest-{turn}")
         small = large.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         flat = small.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct()
         edges = kept.table(flat, f"{name}-{turn}")
-        kept.drop(f"{name}-{turn - 1}")
+        for old in (f"{name}-{turn - 1}", f"{name}-least-{turn}", f"{name}-large-{turn}", f"{name}-smallest-{turn}"):
+            kept.drop(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -15,6 +15,8 @@ neither is deleted for the other; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,17 +38,17 @@ def _placed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", line.alias("i", "line")).select("doc_id", "th", "i", "line.*")
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], kept: Kept) -> DataFrame:
     """The rows whose keys are not unique, with ``rank``: the first place (doc_id, th, i) with these keys."""
     firsts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "th", "i")).alias("rank")).where("_n > 1")
-    return rows.join(firsts.drop("_n"), keys)
+    return rows.join(kept.table(firsts.drop("_n"), f"firsts-{len(keys)}-{uuid.uuid4().hex}"), keys)
 
 
 def repeated_lines(docs: DataFrame, *, run: int = RUN, line_chars: int = LINE_CHARS) -> DataFrame:
     """doc_id, th, gone (sorted line numbers to delete) of the documents that lose lines."""
     kept = Kept(docs.sparkSession, "lines")
     place = F.struct("doc_id", "th", "i")
-    ranks = kept.table(_ranked(_placed(docs), ["h1", "h2"]).select("doc_id", "th", "i", "chars", "rank"), "rank-1")
+    ranks = kept.table(_ranked(_placed(docs), ["h1", "h2"], kept).select("doc_id", "th", "i", "chars", "rank"), "rank-1")
     later = F.col("rank") != place
     gone = [ranks.where(later & (F.col("chars") >= line_chars)).select("doc_id", "th", F.col("i").alias("lo"), F.col("i").alias("hi"))]
     length = 1
@@ -55,7 +57,7 @@ def repeated_lines(docs: DataFrame, *, run: int = RUN, line_chars: int = LINE_CH
         order = Window.partitionBy("doc_id", "th").orderBy("i").rangeBetween(step, step)
         pairs = ranks.select("doc_id", "th", "i", F.col("rank").alias("one"), F.first("rank").over(order).alias("two")).where("two is not null")
         length += step
-        ranks = kept.table(_ranked(pairs, ["one", "two"]).select("doc_id", "th", "i", "rank"), f"rank-{length}")
+        ranks = kept.table(_ranked(pairs, ["one", "two"], kept).select("doc_id", "th", "i", "rank"), f"rank-{length}")
     gone.append(ranks.where(later).select("doc_id", "th", F.col("i").alias("lo"), (F.col("i") + run - 1).alias("hi")))
     numbers = gone[0].unionByName(gone[1]).groupBy("doc_id", "th").agg(F.collect_list(F.sequence("lo", "hi")).alias("parts"))
     return numbers.select("doc_id", "th", F.array_sort(F.array_distinct(F.flatten("parts"))).alias("gone"))

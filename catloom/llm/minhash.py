@@ -151,7 +151,7 @@ def duplicate_groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     classes = kept.table(usable.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc")), "classes")
     firsts = classes.join(all_sets.select(F.col("row").alias("node"), "doc_id", "bands"), "node").select("node", "doc_id", "d1", "d2", "bands")
     buckets = firsts.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = kept.table(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     members = kept.table(buckets.join(shared, "bucket"), "members")
 
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
@@ -159,7 +159,7 @@ def duplicate_groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     kept.drop("members")
     wanted = firsts.join(ranked.select("node").distinct(), "node").drop("bands")
     sets = kept.table(full_sets(docs, wanted), "sets")
-    centres = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre"))
+    centres = kept.table(ranked.groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "centres")
     pairs = ranked.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = kept.table(_linked(pairs, sets, percent), "links")
     groups = components(links, kept, "first")
@@ -179,7 +179,7 @@ def duplicate_groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     every = links.unionByName(more)
     groups = components(every, kept, "second")
     named = classes.select("node", "d1", "d2", "first_doc").join(groups, "node", "left").select("d1", "d2", "first_doc", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    smallest = kept.table(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "smallest")
     by_set = kept.table(named.join(smallest, "component").select("d1", "d2", "component_id"), "named")
     return all_sets.join(by_set, ["d1", "d2"], "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
