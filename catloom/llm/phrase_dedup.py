@@ -74,6 +74,7 @@ def locate(found: Found, kind: Kind, *, shard_phrases: int = SHARD_PHRASES, shar
     # A probe with many contexts is dealt over several tasks; each gets the few distinct phrases of that probe.
     deal = asked.groupBy("probe").agg(F.ceil(F.count(F.lit(1)) / shard_contexts).cast("int").alias("deal"))
     shard = F.pmod(F.xxhash64("probe"), F.lit(shards)).alias("shard")
+    deal = found.kept.table(deal, "deal")
     left = phrases.join(deal, "probe").select(shard, F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("part"), "phrase", "least")
     part = F.pmod(F.xxhash64("context"), F.col("deal")).cast("int").alias("part")
     right = asked.join(deal, "probe").select(shard, part, "probe", "context", "first", "far", "near", "symbols")

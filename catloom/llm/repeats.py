@@ -139,7 +139,8 @@ def first_look(docs: DataFrame, kind: Kind, name: str) -> Found:
     anchors = kept.table(_anchors(docs, kind), "anchors")
     recurs = F.col("first") < F.col("last") if kind.earlier else F.col("n") > 1
     probes = anchors.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first"), F.max("did").alias("last")).where(recurs)
-    candidates = kept.table(anchors.join(probes.select("probe"), "probe"), "candidates")
+    probes = kept.table(probes.select("probe"), "probes")
+    candidates = kept.table(anchors.join(probes, "probe"), "candidates")
     kept.drop("anchors")
 
     classes = kept.table(
@@ -149,6 +150,7 @@ def first_look(docs: DataFrame, kind: Kind, name: str) -> Found:
         "classes",
     )
     several = classes.groupBy("probe").agg(F.count(F.lit(1)).alias("contexts"), F.min("first").alias("least")).where("contexts > 1")
+    several = kept.table(several, "several")
     repeated = candidates.join(classes.where("n > 1").select("probe", "context", "first"), ["probe", "context"])
     whole = (repeated.where("did > first") if kind.earlier else repeated).select("did", "th", "lo", "hi")
     target = F.col("first") > F.col("least") if kind.earlier else F.col("n") == 1
@@ -193,8 +195,10 @@ def by_length(found: Found, kind: Kind, blocks: tuple[int, ...]) -> DataFrame:
         alive = F.col("least") < F.col("most") if kind.earlier else F.col("n") > 1
         count = [F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.max("first").alias("most")]
         shared = ranks.groupBy("probe", "block", "shared").agg(*count, F.max("target").alias("asked")).where(alive & F.col("asked"))
+        shared = kept.table(shared.select("probe", "block", "shared"), f"shared-{turn}")
         cover = ranks.groupBy("probe", "block", "cover").agg(*count).where(alive).select("probe", "block", "cover", F.col("least").alias("_least"))
-        going = ranks.join(shared.select("probe", "block", "shared"), ["probe", "block", "shared"]).join(cover, ["probe", "block", "cover"], "left")
+        cover = kept.table(cover, f"cover-{turn}")
+        going = ranks.join(shared, ["probe", "block", "shared"]).join(cover, ["probe", "block", "cover"], "left")
         done = F.col("target") & F.col("_least").isNotNull() & (F.col("_least") < F.col("first") if kind.earlier else F.lit(True))
         going = kept.table(going.select("probe", "context", "first", "target", "far", "near", "block", F.coalesce(done, F.lit(False)).alias("done")), f"going-{turn}")
         kept.drop(f"ranks-{turn}")
