@@ -6,9 +6,9 @@ j plus a random fraction to the next register of its order, and a register keeps
 document holds less than j + 1, later steps cannot change it, so most documents need one to three steps.
 
 Documents with equal sets form a class and only its first member goes on. Classes that agree in a band meet in a bucket.
-A bucket compares its members with one centre, the member with the most company in all its buckets; the members that are not
-linked to what the centre is linked to are then compared with every member of the bucket outside their own component. So
-no link between two components is lost, and pairs inside a component, which could change nothing, are never made.
+A bucket compares its members with one centre, the member with the most company in all its buckets. Where members are left
+outside the largest component of their bucket, an exact prefix filter finds all partners they may have in other components.
+So no link between two components is lost, and pairs inside a component, which could change nothing, are never made.
 
 Edge cases: null or empty texts, and texts without words, have the empty set and are linked with nothing; rows without a
 doc_id too; rows that share a doc_id are judged each by its text; other columns are ignored.
@@ -140,6 +140,36 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
+def _candidates(nodes: DataFrame, sets: DataFrame, percent: int, kept: Kept) -> DataFrame:
+    """Pairs (a, b) of two components, one of them ``outside``, that may be similar enough: all of them, by prefix filtering.
+
+    The elements of each set are put in one order, rarest first. Two similar sets share an element so early in both that
+    what follows it still makes up the overlap they need. An element nobody shares is only counted. Rows for which the
+    smallest set with the same element would already be too large are dropped before the join, so an element that half
+    of a large group shares does not meet itself in pairs.
+    """
+    known = nodes.join(sets, "node").select("node", "component", "outside", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    known = kept.table(known, "elements")
+    often = kept.table(known.groupBy("element").agg(F.count(F.lit(1)).alias("often")), "often")
+    sorted_ = known.join(often, "element").groupBy("node", "component", "outside", "n").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("order"))
+    first = F.slice("order", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    placed = sorted_.select("node", "component", "outside", "n", F.posexplode(first).alias("before", "e"))
+    rows = kept.table(placed.where("e.often > 1").select("node", "component", "outside", "n", (F.col("n") - F.col("before")).alias("left"), F.col("e.element").alias("element")), "prefixes")
+    least = rows.groupBy("element").agg(F.min("n").alias("_all"), F.min(F.when(F.col("outside"), F.col("n"))).alias("_outside")).where("_outside is not null")
+    least = kept.table(least, "least")
+    bounded = rows.join(least, "element")
+    fits = lambda left, n, other: left * (100 + percent) >= (n + other) * percent
+    asks = bounded.where(F.col("outside") & fits(F.col("left"), F.col("n"), F.col("_all")))
+    asks = asks.select("element", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("left").alias("_la"))
+    others = bounded.where(fits(F.col("left"), F.col("n"), F.col("_outside")))
+    others = others.select("element", F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("left").alias("_lb"), "outside")
+    met = kept.table(asks, "asks").join(kept.table(others, "others"), "element").where(
+        (F.col("_ca") != F.col("_cb")) & (~F.col("outside") | (F.col("a") < F.col("b")))
+        & fits(F.least("_la", "_lb"), F.col("_na"), F.col("_nb"))
+    )
+    return met.select("a", "b").distinct()
+
+
 def duplicate_groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), one row per document.
 
@@ -164,17 +194,14 @@ def duplicate_groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     links = kept.table(_linked(pairs, sets, percent), "links")
     groups = components(links, kept, "first")
 
-    # Members outside the largest component of their bucket meet all members of other components.
+    # Members outside the largest component of their bucket look for partners in other components.
     placed = ranked.select("node", "bucket").join(groups, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
     placed = kept.table(placed, "placed")
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
     mixed = kept.table(main.where("groups > 1").select("bucket", "main"), "mixed")
-    inside = placed.join(mixed, "bucket")
-    others = inside.where("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("_own"))
-    # Both sides outside the main component: each such pair once.
-    rest = others.join(inside, "bucket").where("component <> _own and (component = main or a < node)")
-    rest = rest.select("a", F.col("node").alias("b")).distinct().join(pairs.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
+    inside = placed.join(mixed, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
+    rest = _candidates(kept.table(inside, "inside"), sets, percent, kept).join(pairs, ["a", "b"], "left_anti")
     more = kept.table(_linked(rest, sets, percent), "more")
     every = links.unionByName(more)
     groups = components(every, kept, "second")
