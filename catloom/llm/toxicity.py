@@ -205,12 +205,18 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, n_featu
     return weights, bias
 
 
-def train(labelled: DataFrame, channel: Channel, kept: Kept, *, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
-    """Fit on at most ``train_rows`` rows (text, toxic), the first of each label in a fixed pseudo-random order."""
-    rows = labelled.where("toxic is not null and text is not null").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("text").alias("h"))
+def train(docs: DataFrame, labels: DataFrame, channel: Channel, kept: Kept, *, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
+    """Fit on at most ``train_rows`` labelled documents, the first of each label in a fixed pseudo-random order of ids.
+
+    The ids are chosen without their texts; being so few, they are then broadcast to the scan of the texts.
+    """
+    with_text = docs.where("text is not null").select("doc_id").distinct()
+    known = with_text.join(labels.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")), "doc_id")
     half = train_rows // 2
-    parts = [rows.where(F.col("toxic") == label).orderBy("h").limit(half) for label in (0, 1)]
-    sample = kept.table(parts[0].unionByName(parts[1]).withColumn("row", F.monotonically_increasing_id()), "sample")
+    parts = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for label in (0, 1)]
+    chosen_ids = kept.table(parts[0].unionByName(parts[1]), "chosen-ids")
+    rows = docs.where("text is not null").join(F.broadcast(chosen_ids), "doc_id").select("text", "toxic")
+    sample = kept.table(rows.withColumn("row", F.monotonically_increasing_id()), "sample")
     none = Model(channel, np.zeros(0, np.int64), np.zeros(0), -30.0)
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -260,5 +266,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     channel = Channel(trigram_costs(trigram_counts(texts)))
     held_out = F.coalesce(split_row(F.col("doc_id")) == 0, F.lit(False))
     known = labels.select(F.col("doc_id").cast("long"), "toxic").where(F.col("toxic").isNotNull() & (split_row(F.col("doc_id")) != 0))
-    model = train(texts.join(known, "doc_id"), channel, kept, **options)
+    model = train(texts, known, channel, kept, **options)
     return score(texts, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
