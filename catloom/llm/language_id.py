@@ -183,6 +183,13 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, network: Network | None) -> DataFrame:
+    """The rows whose language can be told, all columns as they were; the texts stay where they are."""
+    packed = docs.select(F.struct("*").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = predict(packed, network).where(F.col("lang_pred") != UNDETERMINED)
+    return found.select(*[F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns])
+
+
 def identify(docs: DataFrame, *, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from the rows outside the held-out fold."""
     held_out = F.coalesce(split_row(F.col("doc_id")) == 0, F.lit(False))

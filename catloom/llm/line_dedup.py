@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,13 +27,9 @@ RUN = 4
 LINE_CHARS = 40
 
 
-def _lines(text: str) -> Column:
-    return F.split(text, "\n", -1)
-
-
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), i, two hashes and the length of each line."""
-    line = F.posexplode(F.transform(_lines("text"), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), F.length(x).alias("chars"))))
+    line = F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), F.length(x).alias("chars"))))
     rows = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     return rows.select("doc_id", "th", line.alias("i", "line")).select("doc_id", "th", "i", "line.*")
 
@@ -64,12 +60,15 @@ def repeated_lines(docs: DataFrame, *, run: int = RUN, line_chars: int = LINE_CH
 
 
 def delete_repeats(docs: DataFrame, **options) -> DataFrame:
-    """All rows and columns of ``docs``, ``text`` without the deleted lines, and ``_gone`` (numbers of the deleted lines)."""
-    gone = repeated_lines(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    both = keyed.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
-    lines = _lines("text")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return both.select(*columns, F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"), F.when(F.col("text") != "", F.size(lines)).otherwise(0).cast("long").alias("_lines"))
+    """doc (a struct of all columns as they were), text without the deleted lines, gone (their numbers), n_lines; all rows."""
+    gone = repeated_lines(docs.select("doc_id", "text"), **options)
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"))
+    both = packed.join(gone, (F.col("_id") == gone["doc_id"]) & (F.col("_th") == gone["th"]), "left")
+    old = F.col("doc.text")
+    lines = F.split(old, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    return both.select(
+        "doc", text.alias("text"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
+        F.when(old != "", F.size(lines)).otherwise(0).cast("long").alias("n_lines"),
+    )

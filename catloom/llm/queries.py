@@ -66,9 +66,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document: its lines, how many go, in how many unbroken runs, and the hash of the text that is left."""
     found = line_dedup.delete_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    heads = F.filter("_gone", lambda x, i: (i == 0) | (F.get("_gone", i - 1) < x - 1))
+    heads = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) < x - 1))
     return found.select(
-        "doc_id", F.col("_lines").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"),
+        "doc.doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"),
         F.size(heads).cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"),
     )
 

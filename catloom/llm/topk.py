@@ -148,7 +148,7 @@ def top_k(
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
     home = F.pmod(F.col("block"), F.lit(shards))
     stored = vectors.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = asked.select(F.col("vec_id").alias("query_id"), "v", block.alias("block"))
+    queries = asked.withColumn("block", block).toDF("query_id", "v", "block")
     none = F.lit(-(1 << 63)).cast("long")
 
     first = _by_shard(stored.where(F.col("shard") == home), queries.withColumn("shard", home).withColumn("floor", none), k)
