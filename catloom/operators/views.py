@@ -116,7 +116,10 @@ def unused_tables(objects: DataFrame, relationships: DataFrame, ordered: bool =
 
 
 def lineage(objects: DataFrame, relationships: DataFrame, with_expr: bool = True, ordered: bool = True) -> DataFrame:
-    """What feeds what, the surest first. Edges with an end that has no node do not show."""
+    """What feeds what, the surest first, then by ids: scores are few, so they alone would sort in as few tasks.
+
+    Edges with an end that has no node do not show.
+    """
     src = objects.select(
         F.col("objects_id").alias("source_objects_id"), F.col("item_name").alias("source"),
         F.col("objects_type").alias("source_type"),
@@ -127,7 +130,8 @@ def lineage(objects: DataFrame, relationships: DataFrame, with_expr: bool = True
     )
     cols = ["source", "source_type", "relationships_type", "target", "target_layer", "confidence_score", "detection_method"]
     rows = relationships.join(src, "source_objects_id").join(tgt, "target_objects_id")
-    return _sorted(rows.select(*cols, *(["transformation_expr"] if with_expr else [])), ordered, F.desc("confidence_score"))
+    rows = _sorted(rows, ordered, F.desc("confidence_score"), "source_objects_id", "target_objects_id")
+    return rows.select(*cols, *(["transformation_expr"] if with_expr else []))
 
 
 def _chain(rows: DataFrame, objects: DataFrame, relationships: DataFrame, ordered: bool) -> DataFrame:
