@@ -17,9 +17,11 @@ from catloom.functions import fixed, text
 from catloom.functions.ranking import ROWS_PER_TASK, keep_last, rank_in_group
 
 _VISUAL_PATH = r"^(?:(?!visuals/)[^/]*/)*?([^/]+)/visuals/(?:.*/)?visual\.json$"
+_ARCHIVE_LIST_PATH = r"^[^/]+/[^/]+/definition/pages/pages\.json$"
 _ARCHIVE_VISUAL_PATH = r"^[^/]+/[^/]+/definition/pages/([^/]+)/visuals/[^/]+/visual\.json$"
 _REF_KEY = r'"SourceRef"'
-_FLAT_REF = r'"SourceRef"\s*:\s*(\{[^{}]*\})'
+_FLAT_REF = r'"SourceRef"\s*:\s*(\{(?:[^{}"\\]++|"[^"\\]*+")*+\})'  # braces inside a text do not count
+_TWO_NAMES = r'(?s)"Entity".*"Entity"'
 _ENTITY = r'"Entity"\s*:\s*"([^"]*)"'
 
 
@@ -52,13 +54,14 @@ def with_entities(docs: DataFrame, content: str = "content") -> DataFrame:
     """Add ``entities``: distinct source entities at any depth.
 
     Flat references, the usual form, are read by a pattern in the JVM. A text is sent to Python only when the
-    pattern does not account for every reference key in it or a reference holds an escape.
+    pattern does not account for every reference key in it, as with an escape or a nested value, or a reference
+    names two entities.
     """
     doc = F.col(content)
     staged = docs.withColumn("_refs", F.regexp_extract_all(doc, F.lit(_FLAT_REF), F.lit(1)))
-    escaped = F.exists("_refs", lambda r: F.contains(r, F.lit("\\")))
+    doubled = F.exists("_refs", lambda r: r.rlike(_TWO_NAMES))
     n_keys = (F.length(doc) - F.length(F.replace(doc, F.lit(_REF_KEY), F.lit("")))) / len(_REF_KEY)
-    staged = staged.withColumn("_simple", (F.size("_refs") == n_keys) & ~escaped)
+    staged = staged.withColumn("_simple", (F.size("_refs") == n_keys) & ~doubled)
     names = F.transform("_refs", lambda r: F.regexp_extract(r, _ENTITY, 1))
     easy = F.array_distinct(F.filter(names, lambda e: e != ""))
     hard = _entities_any_depth(F.when(~F.col("_simple"), doc))
@@ -74,8 +77,8 @@ def report_facts(parts: DataFrame, archive: bool = False) -> DataFrame:
     """What the other functions need of all visual and page-list files, in one pass and without a shuffle.
 
     Rows with a ``page_id`` are visuals (``visual_type``, ``title``, ``entities``); rows with ``page_order`` are
-    page lists. Files that do not parse give neither. Keep the result (``session.cut_lineage``) when it is used
-    more than once: it is far smaller than the texts.
+    page lists; in an archive only the one list beside the pages counts. Files that do not parse give neither. Keep
+    the result (``session.cut_lineage``) when it is used more than once: it is far smaller than the texts.
     """
     # Filtered by path alone: a filter on the parsed text would parse it a second time.
     wanted = parts.where(F.endswith("path", F.lit("visual.json")) | F.endswith("path", F.lit("pages.json")))
@@ -86,15 +89,14 @@ def report_facts(parts: DataFrame, archive: bool = False) -> DataFrame:
         )
     ).withColumn("page_id", F.when(F.col("doc").isNotNull(), F.col("_page")))
     on_visual = F.col("page_id").isNotNull()
+    listing = F.col("path").rlike(_ARCHIVE_LIST_PATH) if archive else F.endswith("path", F.lit("pages.json"))
     kind = F.coalesce(F.try_variant_get("doc", "$.visual.visualType", "string"), F.lit("unknown"))
     return parsed.select(
         "report_id", "path", "page_id",
         F.when(on_visual, kind).alias("visual_type"),
         F.when(on_visual, visual_title(F.col("doc"))).alias("title"),
         F.when(on_visual, F.col("entities")).alias("entities"),
-        F.when(
-            F.endswith("path", F.lit("pages.json")), F.try_variant_get("doc", "$.pageOrder", "array<string>")
-        ).alias("page_order"),
+        F.when(listing, F.try_variant_get("doc", "$.pageOrder", "array<string>")).alias("page_order"),
     )
 
 

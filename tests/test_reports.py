@@ -215,3 +215,24 @@ def test_page_order_and_owner(spark):
     assert [r.page_id for r in reports.ordered_pages(df).collect()] == ["a", "c", "b"]
     people = spark.createDataFrame([("", "m"), ("c", "m"), (None, "")], "c string, m string")
     assert [r[0] for r in people.select(reports.report_owner(F.col("c"), F.col("m"))).collect()] == ["m", "c", None]
+
+
+def test_braces_and_doubled_names_in_references(spark):
+    texts = ['{"SourceRef":{"Entity":"a}b"}}', '{"SourceRef":{"Entity":"{c"}, "x":{"SourceRef":{"Entity":"d"}}}',
+             '{"SourceRef":{"Entity":"e","Entity":"f"}}', '{"SourceRef":{"Entity":"g\\"}h"}}', '{"SourceRef":{"Entity":5}}']
+    df = reports.with_entities(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string"))
+    assert {r.i: set(r.entities) for r in df.collect()} == {0: {"a}b"}, 1: {"{c", "d"}, 2: {"f"}, 3: {'g"}h'}, 4: set()}
+
+
+def test_other_page_lists_of_an_archive_do_not_count(spark):
+    visual = json.dumps({"visual": {"visualType": "card", "q": {"SourceRef": {"Entity": "t1"}}}})
+    base = "F/F.Report/definition/pages"
+    rows = [
+        ("F/F.Report", f"{base}/p1/visuals/v/visual.json", visual),
+        ("F/F.Report", "F/F.Report/StaticResources/pages.json", json.dumps({"pageOrder": ["zzz"]})),
+    ]
+    df = spark.createDataFrame(rows, "report_id string, path string, content string")
+    facts = reports.report_facts(df, archive=True)
+    deps = spark.createDataFrame([], "measure_group string, physical_table string")
+    got = reports.definition_page_tables(facts, known(spark, "t1"), deps, archive=True).collect()
+    assert [tuple(r) for r in got] == [("F/F.Report", "p1", "t1")]
