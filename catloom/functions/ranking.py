@@ -57,8 +57,8 @@ def rank_in_group(
     if large.isEmpty():
         return df.withColumn(out, F.row_number().over(plain).cast("long"))
 
-    # At most one row per rows_per_task input rows, so the broadcast is bounded.
-    tagged = df.join(F.broadcast(large), keys, "left").withColumn(
+    # At most one row per rows_per_task input rows; Spark broadcasts them if they are small enough.
+    tagged = df.join(large, keys, "left").withColumn(
         "_range",
         F.coalesce(F.substr(F.col(order), F.col("_skip") + 1, F.col("_width")), F.lit("")),
     )

@@ -28,8 +28,7 @@ def run_order(activities: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     large = sizes.where(F.col("_n") > group_rows).select("pipeline_id")
     if large.isEmpty():
         return _order_small(activities)
-    # One id per group_rows input rows at most, so the broadcast is bounded.
-    large = F.broadcast(cut_lineage(large))
+    large = cut_lineage(large)
     small = activities.join(large, "pipeline_id", "left_anti")
     return _order_small(small).unionByName(_order_large(activities.join(large, "pipeline_id", "left_semi")))
 
