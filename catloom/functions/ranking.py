@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A group larger than this is ranked in several tasks.
-ROWS_PER_TASK = 1_000_000
-
+from catloom.session import cut_lineage
 
 def order_text(*numbers: Column, width: int = 19) -> Column:
     """Text whose byte order equals the order of the given non-negative numbers."""
@@ -28,55 +26,20 @@ def keep_last(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_kept.{c}").alias(c) for c in rest])
 
 
-def rank_in_group(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    out: str,
-    *,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
+def rank_in_group(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     """Row number (from 1) by the text column ``order``, unique within each group of non-null keys.
 
-    A count first looks for groups above ``rows_per_task``, so ``df`` should be cheap to read again.
-    Such groups are cut into ranges by the first characters after the prefix all their values share;
-    each range is ranked by itself and shifted by the row counts of the ranges before it. All other
-    groups take the plain window.
+    Rows are dealt by ranges of (keys, order), so a large group is spread over several tasks by its own values.
+    Each range is ranked by itself and shifted by the row counts of the group's ranges before it. The dealt rows
+    are written first: both readers must see the same ranges, also after an executor was lost.
     """
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        .where(F.col("_n") > rows_per_task)
-        .select(
-            *keys,
-            _shared_prefix(F.col("_lo"), F.col("_hi")).alias("_skip"),
-            (F.ceil(F.log10(F.col("_n") / rows_per_task)) + 1).cast("int").alias("_width"),
-        )
-    )
-    plain = Window.partitionBy(*keys).orderBy(order)
-    if large.isEmpty():
-        return df.withColumn(out, F.row_number().over(plain).cast("long"))
-
-    # At most one row per rows_per_task input rows; Spark broadcasts them if they are small enough.
-    tagged = df.join(large, keys, "left").withColumn(
-        "_range",
-        F.coalesce(F.substr(F.col(order), F.col("_skip") + 1, F.col("_width")), F.lit("")),
-    )
-    sizes = tagged.where(F.col("_skip").isNotNull()).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = cut_lineage(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     within = Window.partitionBy(*keys, "_range").orderBy(order)
     return (
-        tagged.join(shifts, [*keys, "_range"], "left")
-        .withColumn(out, F.row_number().over(within) + F.coalesce(F.col("_shift"), F.lit(0)))
+        dealt.join(shifts, [*keys, "_range"])
+        .withColumn(out, F.row_number().over(within) + F.col("_shift"))
         .select(*df.columns, out)
     )
-
-
-def _shared_prefix(lo: Column, hi: Column) -> Column:
-    """Length of the longest common prefix of two texts with lo <= hi."""
-    same = F.filter(
-        F.sequence(F.lit(0), F.least(F.length(lo), F.length(hi))),
-        lambda i: F.substr(lo, F.lit(1), i) == F.substr(hi, F.lit(1), i),
-    )
-    return F.array_max(same)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from catloom.functions import fixed, text
 from catloom.functions.ranking import order_text, rank_in_group
-from catloom.session import cut_lineage
+from catloom.session import checkpoint_folder, cut_lineage
 
 # Groups up to this size are ordered inside one task; larger ones by joins, level by level.
 GROUP_ROWS = 10_000
@@ -22,7 +24,8 @@ def run_order(activities: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
     An activity runs when all it waits for have run; ties go to the one whose last predecessor ran
     first, then to input order. Activities that can never run (a cycle, an unknown or a repeated
-    predecessor) get no row here; ``never_run`` lists them. Names are unique within a pipeline.
+    predecessor) get no row here; ``never_run`` lists them. Where names repeat within a pipeline, each
+    activity with an awaited name counts as one that has run. Both ways give the same order at every size.
     """
     sizes = activities.groupBy("pipeline_id").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > group_rows).select("pipeline_id")
@@ -77,50 +80,51 @@ def _order_small(activities: DataFrame) -> DataFrame:
 
 
 def _order_large(activities: DataFrame) -> DataFrame:
-    """Level by level with joins on (pipeline, activity); each level is checkpointed."""
-    able = activities.where(F.size("depends_on") == F.size(F.array_distinct("depends_on")))
-    nodes = cut_lineage(able.select("pipeline_id", "ord", "name", F.size("depends_on").alias("_need"), "depends_on"))
-    waits = nodes.select("pipeline_id", F.explode("depends_on").alias("_parent"), F.col("name").alias("_child"))
-
-    start = nodes.where(F.col("_need") == 0).select("pipeline_id", "ord", "name", order_text(F.col("ord")).alias("_path"))
-    placed = [start.withColumn("_level", F.lit(0))]
-    frontier = start
-    waiting = nodes.where(F.col("_need") > 0).select(
-        "pipeline_id", "ord", "name", "_need", F.lit(0).cast("long").alias("_got"), F.lit("").alias("_last")
-    )
+    """Level by level with joins on (pipeline, activity).
+
+    An activity's level follows that of the predecessor that lets it run, the one that completes its count. Within a level
+    activities are ranked by the rank of that predecessor, then by input order. Each level is added to one table.
+    """
+    spark = activities.sparkSession
+    folder = f"{checkpoint_folder(spark)}/levels-{uuid.uuid4().hex}"
+    nodes = cut_lineage(activities.select("pipeline_id", "ord", "name", F.size("depends_on").alias("_need"), "depends_on"))
+    waits = nodes.select("pipeline_id", F.explode(F.array_distinct("depends_on")).alias("_parent"), F.col("ord").alias("_child"))
+    frontier = nodes.where(F.col("_need") == 0).select("pipeline_id", "ord", "name", F.lit(0).cast("long").alias("_from"))
+    waiting = nodes.where(F.col("_need") > 0).select("pipeline_id", "ord", "name", "_need", F.lit(0).cast("long").alias("_got"))
     level = 0
     while not frontier.isEmpty():
-        level += 1
-        done = frontier.select("pipeline_id", F.col("name").alias("_parent"), "_path")
-        arrived = (
-            waits.join(done, ["pipeline_id", "_parent"])
-            .groupBy("pipeline_id", F.col("_child").alias("name"))
-            .agg(F.count(F.lit(1)).alias("_new"), F.max("_path").alias("_newest"))
+        keyed = frontier.withColumn("_order", order_text(F.col("_from"), F.col("ord")))
+        ranked = rank_in_group(keyed, ["pipeline_id"], "_order", "_rank").select("pipeline_id", "ord", "name", "_rank")
+        ranked.write.parquet(f"{folder}/_level={level}")
+        done = spark.read.schema(ranked.schema).parquet(f"{folder}/_level={level}")
+        arrived = waits.join(done.select("pipeline_id", F.col("name").alias("_parent"), "_rank"), ["pipeline_id", "_parent"]).select(
+            "pipeline_id", F.col("_child").alias("ord"), "_rank", order_text(F.col("_rank")).alias("_order")
         )
-        # Paths of one level have one length, so the newest level's latest path is the last predecessor.
-        state = cut_lineage(
-            waiting.join(arrived, ["pipeline_id", "name"], "left").select(
-                "pipeline_id", "ord", "name", "_need",
-                (F.col("_got") + F.coalesce("_new", F.lit(0))).alias("_got"),
-                F.coalesce("_newest", "_last").alias("_last"),
-            )
+        counted = cut_lineage(rank_in_group(arrived, ["pipeline_id", "ord"], "_order", "_nth"))
+        frontier = cut_lineage(
+            counted.join(waiting, ["pipeline_id", "ord"])
+            .where(F.col("_nth") == F.col("_need") - F.col("_got"))
+            .select("pipeline_id", "ord", "name", F.col("_rank").alias("_from"))
         )
-        frontier = state.where(F.col("_got") == F.col("_need")).select(
-            "pipeline_id", "ord", "name", F.concat("_last", order_text(F.col("ord"))).alias("_path")
+        new = counted.groupBy("pipeline_id", "ord").agg(F.max("_nth").alias("_new"))
+        waiting = cut_lineage(
+            waiting.join(new, ["pipeline_id", "ord"], "left")
+            .select("pipeline_id", "ord", "name", "_need", (F.col("_got") + F.coalesce("_new", F.lit(0))).alias("_got"))
+            .where(F.col("_got") < F.col("_need"))
         )
-        waiting = state.where(F.col("_got") < F.col("_need"))
-        placed.append(frontier.withColumn("_level", F.lit(level)))
-
-    every = placed[0]
-    for part in placed[1:]:
-        every = every.unionByName(part)
-    keyed = every.select(
-        "pipeline_id", "ord", F.concat(order_text(F.col("_level")), F.col("_path")).alias("_order")
-    )
-    ranked = rank_in_group(keyed, ["pipeline_id"], "_order", "_rank")
-    return activities.join(ranked.select("pipeline_id", "ord", "_rank"), ["pipeline_id", "ord"]).select(
-        *activities.columns, (F.col("_rank") - 1).alias("position")
+        level += 1
+
+    if level == 0:
+        return activities.where(F.lit(False)).withColumn("position", F.lit(0).cast("long"))
+    levels = [f"{folder}/_level={i}" for i in range(level)]
+    every = spark.read.option("basePath", folder).schema("pipeline_id string, ord long, _rank long, _level int").parquet(*levels)
+    sizes = every.groupBy("pipeline_id", "_level").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("pipeline_id").orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("pipeline_id", "_level", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    placed = every.join(shifts, ["pipeline_id", "_level"]).select(
+        "pipeline_id", "ord", (F.col("_shift") + F.col("_rank") - 1).alias("position")
     )
+    return activities.join(placed, ["pipeline_id", "ord"]).select(*activities.columns, "position")
 
 
 def notebook_positions(ordered: DataFrame) -> DataFrame:

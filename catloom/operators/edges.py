@@ -58,23 +58,21 @@ def parsed_writers(layered: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def name_pieces(names: DataFrame, key: str, text_column: str) -> DataFrame:
-    """Every distinct substring of a name, the empty one included; two narrow explodes, no pairing."""
-    starts = names.select(
-        key, F.lower(text_column).alias("_n"), F.explode(F.sequence(F.lit(1), F.greatest(F.length(text_column), F.lit(1)))).alias("_i")
-    )
-    spans = starts.select(
-        key, "_n", "_i", F.explode(F.sequence(F.lit(0), F.greatest(F.length("_n") - F.col("_i") + 1, F.lit(0)))).alias("_k")
-    ).where((F.col("_k") > 0) | (F.col("_i") == 1))
-    return spans.select(key, F.substr("_n", F.col("_i"), F.col("_k")).alias("piece"))
+def name_pieces(names: DataFrame, key: str, text_column: str, lengths: Column) -> DataFrame:
+    """Every substring of a name that has one of the ``lengths`` (an array); two narrow explodes, no pairing."""
+    sized = names.select(key, F.lower(text_column).alias("_n"), F.explode(lengths).alias("_k")).where(F.col("_k") <= F.length("_n"))
+    last = F.when(F.col("_k") == 0, 1).otherwise(F.length("_n") - F.col("_k") + 1)
+    starts = sized.select(key, "_n", "_k", F.explode(F.sequence(F.lit(1), last)).alias("_i"))
+    return starts.select(key, F.substr("_n", F.col("_i"), F.col("_k")).alias("piece"))
 
 
 def domain_writers(domains: DataFrame, writers: DataFrame) -> DataFrame:
     """(lh_id, artifact_id) where the container's domain is part of the writer's name.
 
-    An equality join of domains with the pieces of names; the empty domain meets every name.
+    An equality join of domains with the pieces of names that are as long as some domain; the empty domain meets every name.
     """
-    pieces = name_pieces(writers, "artifact_id", "writer_name")
+    lengths = domains.agg(F.collect_set(F.length("domain"))).scalar()
+    pieces = name_pieces(writers, "artifact_id", "writer_name", lengths)
     wanted = domains.select(F.col("domain").alias("piece"), "lh_id")
     return wanted.join(pieces, "piece").select("lh_id", "artifact_id").distinct()
 

@@ -36,7 +36,9 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _sample(field: T.StructField, how: str) -> Column:
+def _sample(field: T.StructField, how: str | None) -> Column:
+    if how is None:
+        return F.lit(None).cast("string")
     col = _quoted(field.name)
     kind = field.dataType
     if how == "first":
@@ -53,12 +55,13 @@ def _share(nulls: Column, rows: Column) -> Column:
     return (F.when(rows > 0, nulls.cast("decimal(20,0)") * 100 / rows.cast("decimal(20,0)"))).cast("decimal(5,1)")
 
 
-def profile_table(df: DataFrame, sample: str = "min") -> DataFrame:
+def profile_table(df: DataFrame, sample: str | None = "min") -> DataFrame:
     """One row per column: ordinal, col_name, datatype, is_nullable, row_count, n_null, pct_null, sample_value,
     last_updated_column, last_updated.
 
-    ``sample="min"`` takes the smallest value (repeatable), ``"first"`` any value that is not null. Counts
-    combine on the map side, so only one row per task is shuffled, whatever the distribution of values.
+    ``sample="min"`` takes the smallest value (repeatable), ``"first"`` any value that is not null, None none. A table
+    wider than ``COLUMNS_PER_SCAN`` is read once for each batch of so many columns, with the same rows.
+    Counts combine on the map side, so only one row per task is shuffled, whatever the distribution of values.
     """
     fields = df.schema.fields
     stamp = update_column(df.columns)
@@ -97,7 +100,7 @@ def profile_table(df: DataFrame, sample: str = "min") -> DataFrame:
     )
 
 
-def profile_tables(tables: dict[str, DataFrame], sample: str = "min") -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame], sample: str | None = "min") -> DataFrame:
     """``profile_table`` of many tables with a leading ``table_name``; the scans run side by side."""
     each = [profile_table(df, sample).select(F.lit(n).alias("table_name"), "*") for n, df in tables.items()]
     return reduce(DataFrame.unionByName, each)

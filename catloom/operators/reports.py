@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catloom.functions import fixed, text
-from catloom.functions.ranking import ROWS_PER_TASK, keep_last, rank_in_group
+from catloom.functions.ranking import keep_last, rank_in_group
 
 _VISUAL_PATH = r"^(?:(?!visuals/)[^/]*/)*?([^/]+)/visuals/(?:.*/)?visual\.json$"
 _ARCHIVE_LIST_PATH = r"^[^/]+/[^/]+/definition/pages/pages\.json$"
@@ -208,7 +208,7 @@ def visual_title(doc: Column) -> Column:
     return F.get(F.filter(texts, lambda t: t != ""), F.lit(0))
 
 
-def named_visuals(facts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def named_visuals(facts: DataFrame) -> DataFrame:
     """Visuals that are not decoration, with type, name and entities.
 
     A visual without a title takes its type's display name; within a page the second and later ones of a type
@@ -220,7 +220,7 @@ def named_visuals(facts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataF
         "report_id", "page_id", "path", "visual_type", "title", "entities", F.col("title").isNotNull().alias("_titled")
     )
     ranked = rank_in_group(
-        marked, ["report_id", "page_id", "visual_type", "_titled"], "path", "_n", rows_per_task=rows_per_task
+        marked, ["report_id", "page_id", "visual_type", "_titled"], "path", "_n"
     )
     base = text.visual_display_name(F.col("visual_type"))
     numbered = F.when(F.col("_n") == 1, base).otherwise(F.concat(base, F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))

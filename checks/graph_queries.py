@@ -131,7 +131,8 @@ def _profile_sql(columns: dict[str, list[str]], sample: bool) -> str:
 
 def _profiles(s, d, names, *cols):
     load = fixture if names[0].startswith("fx_") else table
-    return profile.profile_tables({n: load(s, d, n) for n in names}).select("table_name", "ordinal", "col_name", *cols)
+    sample = "min" if "sample_value" in cols else None
+    return profile.profile_tables({n: load(s, d, n) for n in names}, sample).select("table_name", "ordinal", "col_name", *cols)
 
 
 QUERIES |= {
@@ -142,9 +143,9 @@ QUERIES |= {
         F.when(F.col("table_name") == "embeddings", F.substring_index("sample_value", ",", 1)).otherwise(F.col("sample_value")),
     ),
     "profile_last_updated": lambda s, d: profile.profile_tables(
-        {n: fixture(s, d, n) for n in FIXTURE_COLUMNS}
+        {n: fixture(s, d, n) for n in FIXTURE_COLUMNS}, sample=None
     ).groupBy("table_name").agg(F.max("last_updated_column").alias("last_updated_column"), F.max("last_updated").alias("last_updated")),
-    "catalog_columns": lambda s, d: _profiles(s, d, RAW_TABLES, "datatype"),
+    "catalog_columns": lambda s, d: profile.listed_columns(s, {n: table(s, d, n) for n in RAW_TABLES}).drop("is_nullable"),
     "file_inventory": lambda s, d: files.list_files(s, d).select(
         F.substring_index("path", "/", -1).alias("file_name"), "size"
     ),

@@ -61,6 +61,22 @@ def test_cycle_unknown_and_repeated_parents_never_run(spark):
         assert {r.name: r.position for r in A.run_order(df, limit).collect()} == {"a": 0, "f": 1}
 
 
+def test_repeated_names_give_one_order_at_every_size(spark):
+    rows = [
+        (0, "p", 0, "a", "", []), (0, "p", 1, "a", "", []), (0, "p", 2, "b", "", ["a"]), (0, "p", 3, "c", "", ["b"]),
+        (0, "p", 4, "d", "", ["a", "a"]), (0, "p", 5, "e", "", ["c", "a"]), (0, "p", 6, "f", "", ["b", "ghost"]),
+        (0, "p", 7, "a", "", ["c"]), (0, "p", 8, "g", "", ["d", "b", "a"]), (1, "q", 0, "x", "", ["x"]),
+    ]
+    rng = random.Random(3)
+    for p in range(12):
+        names = [rng.choice("abcde") for _ in range(rng.randint(3, 9))]
+        rows += [(2 + p, f"r{p}", i, n, "", [rng.choice(names) for _ in range(rng.choice([0, 0, 1, 2]))]) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    small, large = ({(r.pipeline_id, r.ord): r.position for r in A.run_order(df, limit).collect()} for limit in (100, 2))
+    assert small == large
+    assert [small["p", i] for i in range(6)] == [0, 1, 2, 5, 3, 4] and ("p", 6) not in small
+
+
 def transitions(spark, rows, layers, artifacts):
     df = spark.createDataFrame(rows, SCHEMA)
     tables = spark.createDataFrame([(x,) for x in layers], "layer string")
