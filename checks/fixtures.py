@@ -79,8 +79,8 @@ UNION ALL SELECT concat('t-', CAST(p_partkey AS STRING)), 'Table', CASE (p_partk
    concat('t_', CAST(p_partkey - p_partkey % 2 AS STRING)), concat('lh-', CAST(p_partkey % 10 AS STRING)), concat('{"row_count": ', CAST(p_size AS STRING), '}') FROM part""",
     "fx_relationships": """
 SELECT DISTINCT concat('p-', CAST(l_orderkey AS STRING)) AS source_objects_id, concat('t-', CAST(l_partkey AS STRING)) AS target_objects_id,
-       'uses' AS relationships_type, CAST(NULL AS STRING) AS transformation_expr, CAST(1.0 AS DECIMAL(5,4)) AS confidence_score, 'pbip_page' AS detection_method
-FROM lineitem WHERE l_partkey % 10 < 9
+       CASE WHEN l_partkey % 10 = 9 THEN 'mentions' ELSE 'uses' END AS relationships_type, CAST(NULL AS STRING) AS transformation_expr, CAST(1.0 AS DECIMAL(5,4)) AS confidence_score, 'pbip_page' AS detection_method
+FROM lineitem
 UNION ALL SELECT CASE WHEN p_partkey % 50 = 0 THEN concat('unresolved-', CAST(p_partkey AS STRING)) WHEN p_partkey % 2 = 0 THEN 'lh-3' ELSE 'lh-7' END,
        concat('t-', CAST(p_partkey AS STRING)), 'derives_from', NULL, CAST(0.5 AS DECIMAL(5,4)), 'inferred' FROM part""",
     # Tables parented to pages, so the parent-pointer queries have rows too: one node per page and part.
@@ -91,17 +91,19 @@ UNION ALL SELECT concat('lh-', CAST(s_suppkey AS STRING)), 'Notebook', NULL, s_n
 UNION ALL SELECT concat('t-', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING)), 'Table', CASE (l_partkey % 10) % 4 WHEN 0 THEN 'Bronze' WHEN 1 THEN 'Silver' WHEN 2 THEN 'Gold' ELSE 'Unknown' END,
    concat('t_', CAST(l_partkey AS STRING)), concat('p-', CAST(l_orderkey AS STRING)), concat('{"row_count": ', CAST(max(l_linenumber) AS STRING), '}')
    FROM lineitem GROUP BY l_orderkey, l_partkey""",
+    # A returned line's table points at the supplier instead, so some tables are fed by nothing.
     "fx_paged_relationships": """
-SELECT DISTINCT concat('lh-', CAST(l_suppkey AS STRING)) AS source_objects_id, concat('t-', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING)) AS target_objects_id,
-       'derives_from' AS relationships_type, CAST(0.5 AS DECIMAL(5,4)) AS confidence_score, 'inferred' AS detection_method
-FROM lineitem WHERE l_returnflag <> 'R'""",
+SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN concat('t-', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING)) ELSE concat('lh-', CAST(l_suppkey AS STRING)) END AS source_objects_id,
+       CASE WHEN l_returnflag = 'R' THEN concat('lh-', CAST(l_suppkey AS STRING)) ELSE concat('t-', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING)) END AS target_objects_id,
+       CASE WHEN l_returnflag = 'R' THEN 'mentions' ELSE 'derives_from' END AS relationships_type, CAST(0.5 AS DECIMAL(5,4)) AS confidence_score, 'inferred' AS detection_method
+FROM lineitem""",
     # Lineage inputs ------------------------------------------------------
     "fx_containers": """
 SELECT s_suppkey AS ord, concat('lh-', CAST(s_suppkey AS STRING)) AS id,
-       concat(CASE s_suppkey % 4 WHEN 0 THEN 'bronze_lh_' WHEN 1 THEN 'silver_lh_' ELSE 'gold_wh_' END, CAST(s_suppkey AS STRING)) AS display_name,
-       CASE s_suppkey % 4 WHEN 0 THEN 'Bronze' WHEN 1 THEN 'Silver' ELSE 'Gold' END AS layer,
+       concat(CASE s_suppkey % 4 WHEN 0 THEN 'bronze_lh_' WHEN 1 THEN 'silver_lh_' WHEN 2 THEN 'gold_wh_' ELSE 'nb_silver_to_gold_' END, CAST(s_suppkey AS STRING)) AS display_name,
+       CASE s_suppkey % 4 WHEN 0 THEN 'Bronze' WHEN 1 THEN 'Silver' WHEN 2 THEN 'Gold' ELSE 'Unknown' END AS layer,
        'fx' AS workspace_name, concat('https://files/', s_name) AS files_path
-FROM supplier WHERE s_suppkey % 4 <> 3""",
+FROM supplier""",
     "fx_artifacts": """
 SELECT s_suppkey AS ord, concat('lh-', CAST(s_suppkey AS STRING)) AS id,
        concat(CASE s_suppkey % 4 WHEN 0 THEN 'bronze_lh_' WHEN 1 THEN 'silver_lh_' WHEN 2 THEN 'gold_wh_' ELSE 'nb_silver_to_gold_' END, CAST(s_suppkey AS STRING)) AS display_name,

@@ -258,7 +258,7 @@ WHERE i.report_folder IN (SELECT report_folder FROM st_archive_pages)"""
 
 STEPS["st_choice"] = """
 SELECT w.report_id, a.page_id, a.physical_table, 'archive' AS map_source FROM st_with_map w JOIN st_archive_pages a ON a.report_folder = w.report_folder
-WHERE w.report_id IN (SELECT x.report_id FROM st_with_map x JOIN st_archive_pages b ON b.report_folder = x.report_folder
+WHERE w.report_id IN (SELECT x.report_id FROM st_with_map x JOIN (SELECT DISTINCT report_folder, page_id FROM st_archive_pages) b ON b.report_folder = x.report_folder
                       JOIN fx_pages p ON p.report_id = x.report_id AND p.page_id = b.page_id)
 UNION ALL SELECT report_id, page_id, physical_table, 'fallback_0' FROM st_page_tables
 WHERE report_id IN (SELECT report_id FROM fx_model_reports) AND report_id NOT IN (SELECT report_id FROM st_with_map)"""
