@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catloom.llm.common import SPACE_WORDS, Spans, removed_spans, slices, text_buffer, word_hashes, word_spans
-from catloom.llm.repeats import Found, Kind, first_look, keyed, place
+from catloom.llm.repeats import Found, Kind, first_look, keyed, place, runs_by_text
 
 WINDOW = 50
 PROBE = 16
@@ -66,18 +66,29 @@ def recurring_phrases(found: Found, kind: Kind) -> DataFrame:
     return shown.join(text, ["probe", "context"]).select("probe", phrase.alias("phrase"), "least")
 
 
-def locate(found: Found, kind: Kind, *, shard_phrases: int = SHARD_PHRASES, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """probe, context, first, far, near of the windows of open contexts that start in an earlier document."""
-    phrases = found.kept.table(recurring_phrases(found, kind), "phrases")
-    shards = max(1, -(-phrases.count() // shard_phrases))
+def dealt(found: Found, phrases: DataFrame, shard_phrases: int, shard_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """The phrases and the contexts to search for them, both with the ``shard`` and ``part`` of the task they go to.
+
+    Contexts of a probe without a phrase have nothing to find and stay out. There are as many shards as the larger of
+    both sides needs; a probe with many contexts is dealt over several parts, each with the distinct phrases of that probe.
+    """
     asked = found.open.where("target")
-    # A probe with many contexts is dealt over several tasks; each gets the few distinct phrases of that probe.
-    deal = asked.groupBy("probe").agg(F.ceil(F.count(F.lit(1)) / shard_contexts).cast("int").alias("deal"))
+    probes = found.kept.table(phrases.select("probe").distinct(), "phrase-probes")
+    counts = asked.groupBy("probe").agg(F.count(F.lit(1)).alias("n")).join(probes, "probe")
+    deal = found.kept.table(counts.withColumn("deal", F.ceil(F.col("n") / shard_contexts).cast("int")), "deal")
+    contexts = deal.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-phrases.count() // shard_phrases), -(-contexts // shard_contexts))
     shard = F.pmod(F.xxhash64("probe"), F.lit(shards)).alias("shard")
-    deal = found.kept.table(deal, "deal")
     left = phrases.join(deal, "probe").select(shard, F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("part"), "phrase", "least")
     part = F.pmod(F.xxhash64("context"), F.col("deal")).cast("int").alias("part")
     right = asked.join(deal, "probe").select(shard, part, "probe", "context", "first", "far", "near", "symbols")
+    return left, right
+
+
+def locate(found: Found, kind: Kind, *, shard_phrases: int = SHARD_PHRASES, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
+    """probe, context, first, far, near of the windows of open contexts that start in an earlier document."""
+    phrases = found.kept.table(recurring_phrases(found, kind), "phrases")
+    left, right = dealt(found, phrases, shard_phrases, shard_contexts)
     words = kind.window
 
     def stream(phrases: pd.DataFrame, contexts: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +120,7 @@ def remove_earlier(docs: DataFrame, *, window: int = WINDOW, probe: int = PROBE,
     kind = Kind(_words, lambda units: units, "uint64", window, probe, earlier=True)
     found = first_look(docs, kind, "phrases")
     runs = place(found, locate(found, kind, **options), kind)
-    grouped = runs.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    grouped = runs_by_text(runs)
     none = F.array().cast(grouped.schema["runs"].dataType)
     texts = keyed(docs).join(grouped, ["did", "th"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
 

@@ -157,7 +157,11 @@ def first_look(docs: DataFrame, kind: Kind, name: str) -> Found:
     left = classes.join(several, "probe").select("one.*", "probe", "context", "first", target.alias("target"))
     bounds = [(F.col("a") - F.col("lo")).alias("far"), (F.col("a") - F.col("hi")).alias("near")]
     open_ = _contexts(docs, left, kind).select("probe", "context", "first", "target", *bounds, "symbols")
-    return Found(kept, candidates, whole, kept.table(open_, "open"))
+    open_ = kept.table(open_, "open")
+    # Rows that agree in did and th each give the contexts of their text; one of each is enough.
+    if open_.count() > (several.agg(F.sum("contexts")).first()[0] or 0):
+        open_ = kept.table(open_.dropDuplicates(["probe", "context"]), "open-once")
+    return Found(kept, candidates, whole, open_)
 
 
 def place(found: Found, windows: DataFrame, kind: Kind) -> DataFrame:
@@ -170,6 +174,11 @@ def place(found: Found, windows: DataFrame, kind: Kind) -> DataFrame:
     return found.whole.unionByName(parts)
 
 
+def runs_by_text(runs: DataFrame) -> DataFrame:
+    """did, th, runs: the distinct (lo, hi) of each text, however many equal rows gave them."""
+    return runs.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+
+
 def by_length(found: Found, kind: Kind, blocks: tuple[int, ...]) -> DataFrame:
     """Windows of open runs that are repeated, by ranking blocks of windows at growing lengths.
 

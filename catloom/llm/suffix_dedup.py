@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catloom.llm.common import byte_symbols, removed_spans, slices, text_buffer
-from catloom.llm.repeats import Kind, by_length, first_look, keyed, place
+from catloom.llm.repeats import Kind, by_length, first_look, keyed, place, runs_by_text
 
 LENGTH = 400
 PROBE = 100
@@ -37,7 +37,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, probe: int = PROBE,
     kind = Kind(_bytes, byte_symbols, "uint8", length, probe, earlier=False)
     found = first_look(docs, kind, "suffix")
     runs = place(found, by_length(found, kind, blocks), kind)
-    grouped = runs.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    grouped = runs_by_text(runs)
     none = F.array().cast(grouped.schema["runs"].dataType)
     texts = keyed(docs).join(grouped, ["did", "th"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
 

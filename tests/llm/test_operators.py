@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catloom.llm import (
-    decontaminate, language_id, line_dedup, minhash, packing, phrase_dedup, suffix_dedup, token_files, topk, toxicity,
+    decontaminate, language_id, line_dedup, minhash, packing, phrase_dedup, repeats, suffix_dedup, token_files, topk, toxicity,
 )
 from catloom.llm.common import split_row
 from catloom.llm.tokenizing import encoder, tokenizer_path
@@ -247,6 +247,37 @@ def test_phrase_dedup(spark, empty, window, probe):
     assert phrase_dedup.remove_earlier(empty).count() == 0
 
 
+def test_phrase_contexts_are_dealt(spark):
+    rng = random.Random(9)
+    kind = repeats.Kind(phrase_dedup._words, lambda units: units, "uint64", 12, 4, earlier=True)
+    quotes, wholes = [words(rng, 8) for _ in range(40)], [words(rng, 12) for _ in range(40)]
+    around = lambda q: f"{words(rng, 20)} {q} {words(rng, 20)}"
+    short = [around(q) for q in quotes for _ in range(4)]
+    shared = [around(q) for q in wholes for _ in range(4)]
+    for texts, some in ((short, False), (short + shared, True)):
+        found = repeats.first_look(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), kind, "dealt")
+        phrases = found.kept.table(phrase_dedup.recurring_phrases(found, kind), "phrases")
+        left, right = phrase_dedup.dealt(found, phrases, 1000, 10)
+        probes = {r.probe for r in phrases.collect()}
+        assert found.open.where("target").count() > 0 and bool(probes) == some
+        assert {r.probe for r in right.collect()} == probes  # contexts around short quotes have no phrase to find
+        assert all(r["count"] <= 40 for r in right.groupBy("shard", "part").count().collect())
+
+
+def test_equal_rows_are_listed_once(spark):
+    rng = random.Random(10)
+    shared = words(rng, 60)
+    rows = [(1, shared)] + [(None, f"{words(rng, 20)} {shared} tail")] * 30 + [(2, f"{words(rng, 9)} {shared}")] * 30
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for kind in (repeats.Kind(phrase_dedup._words, lambda u: u, "uint64", 12, 4, True), repeats.Kind(suffix_dedup._bytes, suffix_dedup.byte_symbols, "uint8", 60, 20, False)):
+        found = repeats.first_look(table, kind, "equal")
+        assert found.open.count() == found.open.select("probe", "context").distinct().count() > 0
+        for r in repeats.runs_by_text(found.whole.unionByName(found.whole)).collect():
+            assert len(r.runs) == len({(x.lo, x.hi) for x in r.runs})
+    found = phrase_dedup.remove_earlier(table, window=12, probe=4).where("doc_id = 2").collect()
+    assert len(found) == 30 and {r.n_words - sum(s.hi - s.lo for s in r.spans) for r in found} == {9}
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     tokenizer = encoder(tokenizer_path()).tokenizer
     manifest = token_files.write_token_files(docs, str(tmp_path / "a"), parts=3)
