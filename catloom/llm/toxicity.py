@@ -1,9 +1,9 @@
 """Toxicity scores of texts restored from obfuscated spelling by a noisy channel.
 
 A writer who wants to be read but not found replaces letters by look-alikes (``5tup1d``), sets them apart (``s t u p i d``) or
-repeats them (``stuuupid``). Such spots are found by their shape; the rest of a text is taken as it stands. For a spot the
+repeats them (``stuupid``), or all of these. Such spots are found by their shape; the rest of a text is taken as it stands. For a spot the
 channel gives a lattice: each character may stand for itself, for a letter it looks like, or for nothing (a separator between
-single letters, a repeated letter). Viterbi decoding finds the cheapest path under a character trigram model counted over
+single symbols, a repeated symbol). Viterbi decoding finds the cheapest path under a character trigram model counted over
 all texts. A text's features are the whole words and the first 4, 5 and 6 bytes of words, both as written and as restored; a
 logistic model over the features that tell toxic from other rows gives the score.
 
@@ -44,13 +44,11 @@ _CLASS[[*range(0x00, 0x61), *range(0x7B, 0x80)]] = 0
 _STATES = 28
 
 _ODD = "".join(re.escape(c) for c in LOOKS_LIKE)
+_APART = rf"(?:[^\w{_ODD}]|_){{1,3}}"  # between single symbols: anything but letters, digits and look-alikes
 _SPOT = re.compile(
-    rf"(?<![^\W\d_])(?:[a-z][ .\-_*]){{3,}}[a-z](?![^\W\d_])"  # single letters set apart
-    rf"|(?=[a-z{_ODD}]*[a-z])(?=[a-z{_ODD}]*[{_ODD}])[a-z{_ODD}]{{3,40}}"  # letters with look-alikes
-    rf"|\b(?=[a-z]*([a-z])\1\1)[a-z]{{4,40}}\b"  # a letter three times in a row
-)
-_SPOT_BYTES = re.compile(  # a cheap test that some spot may exist
-    rb"[a-z][0-9@$!|+(][a-z0-9@$!|+(]|[0-9@$!|+(][a-z]|([a-z])\1\1|\xc2[\xa1\xa3]|\xe2\x82\xac|[a-z][ .\-_*][a-z][ .\-_*][a-z][ .\-_*][a-z]"
+    rf"(?<![^\W_])(?=(?:[{_ODD}]{_APART})*[a-z](?![^\W_]))(?:[a-z{_ODD}]{_APART}){{3,}}[a-z{_ODD}](?![^\W_])"  # single symbols set apart
+    rf"|(?<![a-z{_ODD}])(?=[{_ODD}]*[a-z])(?=[a-z]*[{_ODD}])[a-z{_ODD}]{{3,}}"  # letters with look-alikes
+    rf"|\b(?=[a-z]*([a-z])\1)[a-z]{{4,}}\b"  # a letter twice or more in a row
 )
 
 
@@ -62,6 +60,8 @@ class Channel:
     known: dict[str, str] = field(default_factory=dict)
 
     def restore(self, spot: str) -> str:
+        if len(spot) > 64:
+            return self._decode(spot)
         if spot not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -69,18 +69,18 @@ class Channel:
         return self.known[spot]
 
     def _decode(self, spot: str) -> str:
-        spaced = len(spot) > 4 and not spot[1].isalnum()
-        paths = {(0, 0): (0.0, "")}  # by the last two letters: cost and text
-        for i, c in enumerate(spot):
-            options: list[tuple[str, float]] = []
-            if "a" <= c <= "z":
-                options.append((c, 0.0))
-                if i and c == spot[i - 1]:
-                    options.append(("", _COST_DROP))
-            else:
-                options.extend((x, _COST_LOOK) for x in LOOKS_LIKE.get(c, ""))
-                options.append(("", _COST_DROP if spaced and c in " .-_*" else _COST_SAME_ODD))
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+        # By the last two letters: cost, and the text as its last letter behind the text before it.
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        last = ""
+        for c in spot:
+            if not ("a" <= c <= "z" or c in LOOKS_LIKE):  # a separator, the same price on every path
+                paths = {key: (cost + _COST_DROP, text) for key, (cost, text) in paths.items()}
+                continue
+            options = [(c, 0.0)] if "a" <= c <= "z" else [*((x, _COST_LOOK) for x in LOOKS_LIKE[c]), ("", _COST_SAME_ODD)]
+            if c == last:
+                options.append(("", _COST_DROP))
+            last = c
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, text) in paths.items():
                 for out, price in options:
                     if out:
@@ -89,9 +89,14 @@ class Channel:
                     else:
                         key, total = (a, b), cost + price
                     if key not in following or total < following[key][0]:
-                        following[key] = (total, text + out)
+                        following[key] = (total, (text, out) if out else text)
             paths = following
-        return min((cost + self.costs[(a * _STATES + b) * _STATES], text) for (a, b), (cost, text) in paths.items())[1]
+        text = min(((cost + self.costs[(a * _STATES + b) * _STATES], text) for (a, b), (cost, text) in paths.items()), key=lambda x: x[0])[1]
+        letters = []
+        while text:
+            text, letter = text
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 def restored_words(text: str, channel: Channel) -> list[str]:
@@ -142,8 +147,7 @@ def _features(batch: pa.RecordBatch, channel: Channel) -> tuple[np.ndarray, np.n
     extra: list[str] = []
     for i in range(batch.num_rows):
         own = data[offsets[i] : offsets[i + 1]].tobytes()
-        found = restored_words(own.decode("utf-8", "replace"), channel) if _SPOT_BYTES.search(own) else ()
-        extra.append(" ".join(found))
+        extra.append(" ".join(restored_words(own.decode("utf-8", "replace"), channel)))
     rows, hashes = [], []
     more, more_offsets = text_buffer(pa.array(extra, pa.string()))
     for data, offsets in ((data, offsets), (more, more_offsets)):

@@ -154,6 +154,31 @@ def test_toxicity(spark, empty):
     assert {r.score < 0.5 for r in toxicity.toxicity(table, known.where("toxic = 0")).collect()} == {True}
 
 
+def test_each_obfuscated_form_is_restored():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    plain = pa.array([" ".join(rng.choice(["stupid", "jerk", "idiot", "kill", "tree", "house", "river", "letter"]) for _ in range(2000))])
+    data, offsets = toxicity.text_buffer(plain)
+    counts = np.zeros(28**3)
+    cls = np.concatenate([[0], toxicity._CLASS[data], [0]])
+    code = (cls[:-2] * 28 + cls[1:-1]) * 28 + cls[2:]
+    np.add.at(counts, np.where(cls[1:-1] == 0, cls[2:], code), 1)
+    channel = toxicity.Channel(toxicity.trigram_costs(counts))
+    forms = {
+        "stupid": ["s t u p 1 d", "s.t.u.p.1.d", "5 t u p 1 d", "s  t  u  p  i  d", "s/t/u/p/i/d", "s, t, u, p, i, d", "s_t_u_p_i_d", "stuupiid", "stuup1d", "s t u u p i d", "st" + "u" * 50 + "pid", "5tup1d", "stuuupid"],
+        "idiot": ["idio7", "1d10t", "i d i 0 t"], "kil": ["ki1"],
+    }
+    for word, texts in forms.items():
+        for text in texts:
+            assert toxicity.restored_words(text, channel) == [word], text
+            own = np.unique(toxicity._features(pa.record_batch([pa.array([text + " tree"])], ["text"]), channel)[1])
+            assert word == "kil" or set(toxicity._features(pa.record_batch([pa.array([word])], ["text"]), channel)[1]) <= set(own), text
+    assert toxicity.restored_words("jerk$", channel) in ([], ["jerk"], ["jerks"]) and toxicity._SPOT.search("jerk$")
+    assert toxicity.restored_words("1 2 3 4 5 and 2024-10-11 in the river", channel) == []
+    assert toxicity._SPOT.search("q" * 100_000) and not toxicity._SPOT.search("ab" * 100_000)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = {i: rng.normal(0, 0.3, 8).round(1).tolist() for i in range(300)}
