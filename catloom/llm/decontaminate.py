@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.llm.common import (
@@ -151,10 +151,10 @@ def search(batch: pa.RecordBatch, patterns: list[Patterns]) -> pa.RecordBatch:
     )
 
 
-def find_items(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, shard_patterns: int = SHARD_PATTERNS) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, shard_patterns: int = SHARD_PATTERNS, row: Column | None = None) -> DataFrame:
     """row, doc_id, n_words, hits array<struct<lo,hi>> (words covered by occurrences), items array<long>, one row per document.
 
-    ``row`` numbers the rows, so that rows with one doc_id stay apart. The patterns are broadcast at most
+    ``row`` numbers the rows, by the column given or in any order, so that rows with one doc_id stay apart. The patterns are broadcast at most
     ``shard_patterns`` at a time; when there are more, each part is searched by itself and the findings of a document
     are joined.
     """
@@ -163,7 +163,8 @@ def find_items(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, shard
     windows = benchmark_windows(items, window).groupBy("words", "n_words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     windows = kept.table(windows, "windows")
     shards = max(1, -(-windows.count() // shard_patterns))
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    number = F.monotonically_increasing_id() if row is None else row
+    source = docs.select(number.alias("row"), F.col("doc_id").cast("long"), "text")
     out = "row long, doc_id long, n_words long, hits array<struct<lo:long,hi:long>>, items array<long>"
     parts = []
     for shard in range(shards):
@@ -203,7 +204,11 @@ def judge(found: DataFrame, min_share: int = 20) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, all columns as they were.
 
-    Rows that share a doc_id go together when one of them is contaminated; rows without a doc_id are kept.
+    Each row is judged by its own text, with or without a doc_id. The rows are written with their numbers first, so that
+    a number names the same row whenever it is read.
     """
-    bad = judge(find_items(docs.select("doc_id", "text"), items, **options)).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    kept = Kept(docs.sparkSession, "clean")
+    held = kept.table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    source = held.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    bad = judge(find_items(source, items, row=F.col("row"), **options)).where("contaminated").select("row")
+    return held.join(bad, "row", "left_anti").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

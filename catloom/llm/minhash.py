@@ -88,8 +88,14 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
     return values.reshape(rows, registers)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_shingles, digest of the set (two longs), bands (one hash each) of every document."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (a number), doc_id, text."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def sketch(source: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """row, doc_id, th (hash of the text), n_shingles, digest of the set (two longs), bands (one hash each) of every row of ``source`` (row, doc_id, text)."""
+    n_bands, n_rows = bands, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1_000_000):
@@ -99,24 +105,24 @@ def sketch(docs: DataFrame) -> DataFrame:
             for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes.view(np.uint64) ^ np.uint64(seed)))])
                 digests.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
-            bands = Spans(signatures(hashes, offsets).ravel())
+            bands = Spans(signatures(hashes, offsets, n_bands * n_rows).ravel())
             n = batch.num_rows
-            starts = np.arange(n * BANDS) * ROWS
-            keys = mix(bands.of(starts, starts + ROWS) + np.tile(np.arange(BANDS, dtype=np.uint64), n)).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
-            flat = keys.reshape(n, BANDS)[sizes > 0].ravel()
+            starts = np.arange(n * n_bands) * n_rows
+            keys = mix(bands.of(starts, starts + n_rows) + np.tile(np.arange(n_bands, dtype=np.uint64), n)).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, n_bands, 0))])
+            flat = keys.reshape(n, n_bands)[sizes > 0].ravel()
             yield pa.record_batch(
-                [batch.column("row"), batch.column("doc_id"), pa.array(sizes), pa.array(digests[0]), pa.array(digests[1]),
+                [batch.column("row"), batch.column("doc_id"), batch.column("th"), pa.array(sizes), pa.array(digests[0]), pa.array(digests[1]),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                ["row", "doc_id", "n_shingles", "d1", "d2", "bands"],
+                ["row", "doc_id", "th", "n_shingles", "d1", "d2", "bands"],
             )
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "row long, doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    keyed = source.select("row", "doc_id", F.xxhash64("text").alias("th"), "text")
+    return keyed.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, elements: the whole shingle sets of the wanted classes (node, doc_id, d1, d2)."""
+def full_sets(source: DataFrame, wanted: DataFrame, kept: Kept) -> DataFrame:
+    """node, elements: the whole shingle sets of the wanted classes (node, doc_id, th, d1, d2), once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -127,8 +133,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = pa.record_batch([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes))], ["node", "elements"])
             yield out.filter(pa.array(same))
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(wanted, "doc_id").select("node", "d1", "d2", "text").mapInArrow(run, "node long, elements array<long>")
+    texts = source.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    sets = texts.join(wanted, ["doc_id", "th"]).select("node", "d1", "d2", "text").mapInArrow(run, "node long, elements array<long>")
+    sets = kept.table(sets, "sets")
+    found = sets.agg(F.count("node"), F.count_distinct("node")).first()
+    return sets if found[0] == found[1] else kept.table(sets.dropDuplicates(["node"]), "sets-once")  # equal rows with one doc_id
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,16 +179,21 @@ def _candidates(nodes: DataFrame, sets: DataFrame, percent: int, kept: Kept) ->
     return met.select("a", "b").distinct()
 
 
-def duplicate_groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+def duplicate_groups(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), one row per document.
 
     The links hold between full sets; the groups are their connected components.
     """
-    kept = Kept(docs.sparkSession, "minhash")
-    all_sets = kept.table(sketch(docs), "sketches")
+    return grouped_rows(numbered(docs), **options).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped_rows(source: DataFrame, *, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, first_row (the group's first row by doc_id, then row) of the rows of ``source``."""
+    kept = Kept(source.sparkSession, "minhash")
+    all_sets = kept.table(sketch(source, bands, rows), "sketches")
     usable = all_sets.where("n_shingles > 0 and doc_id is not null")
-    classes = kept.table(usable.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc")), "classes")
-    firsts = classes.join(all_sets.select(F.col("row").alias("node"), "doc_id", "bands"), "node").select("node", "doc_id", "d1", "d2", "bands")
+    classes = kept.table(usable.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min(F.struct("doc_id", "row")).alias("first_doc")), "classes")
+    firsts = classes.join(all_sets.select(F.col("row").alias("node"), "doc_id", "th", "bands"), "node").select("node", "doc_id", "th", "d1", "d2", "bands")
     buckets = firsts.select("node", F.explode("bands").alias("bucket"))
     shared = kept.table(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     members = kept.table(buckets.join(shared, "bucket"), "members")
@@ -188,7 +202,7 @@ def duplicate_groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     ranked = kept.table(members.select("node", "bucket").join(company, "node"), "ranked")
     kept.drop("members")
     wanted = firsts.join(ranked.select("node").distinct(), "node").drop("bands")
-    sets = kept.table(full_sets(docs, wanted), "sets")
+    sets = full_sets(source, wanted, kept)
     centres = kept.table(ranked.groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "centres")
     pairs = ranked.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = kept.table(_linked(pairs, sets, percent), "links")
@@ -207,13 +221,21 @@ def duplicate_groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     groups = components(every, kept, "second")
     named = classes.select("node", "d1", "d2", "first_doc").join(groups, "node", "left").select("d1", "d2", "first_doc", F.coalesce("component", "node").alias("component"))
     smallest = kept.table(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "smallest")
-    by_set = kept.table(named.join(smallest, "component").select("d1", "d2", "component_id"), "named")
+    by_set = kept.table(named.join(smallest, "component").select("d1", "d2", F.col("component_id").alias("least")), "named")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return all_sets.join(by_set, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "row", "doc_id", "n_shingles", *[F.when(linked, F.col(f"least.{c}")).otherwise(F.col(c)).alias(name) for c, name in (("doc_id", "component_id"), ("row", "first_row"))],
     )
 
 
 def first_of_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the first of their group, all columns as they were; rows without a doc_id are kept."""
-    gone = duplicate_groups(docs.select("doc_id", "text"), **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The first row of each group, all columns as they were; rows without a doc_id are kept.
+
+    Each row is judged by itself, whatever other rows have its doc_id. The rows are written with their numbers first, so
+    that a number names the same row whenever it is read.
+    """
+    kept = Kept(docs.sparkSession, "first-of-group")
+    held = kept.table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    source = held.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    gone = grouped_rows(source, **options).where("row <> first_row").select("row")
+    return held.join(gone, "row", "left_anti").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -154,6 +154,33 @@ def test_toxicity(spark, empty):
     assert {r.score < 0.5 for r in toxicity.toxicity(table, known.where("toxic = 0")).collect()} == {True}
 
 
+def test_rows_of_one_id_are_judged_each(spark):
+    rng = random.Random(12)
+    base, other, item = words(rng, 80), words(rng, 80), words(rng, 20)
+    near = base + " tail"
+    rows = [(1, base), (2, near), (2, other), (3, other + " z"), (4, item), (4, words(rng, 30)), (None, item), (None, base), (5, item)]
+    rows += [(6, rows[5][1] + " and more")] * 3
+    table = frame(spark, [(0, "x")]).limit(0).unionByName(spark.createDataFrame(rows, "doc_id long, text string"), True).repartition(3)
+    first = minhash.first_of_group(table)
+    assert first.columns == table.columns
+    expected = [(1, base), (2, other), (4, item), (4, rows[5][1]), (None, item), (None, base)]
+    assert Counter((r.doc_id, r.text) for r in first.collect()) == Counter(expected)
+    clean = decontaminate.clean_documents(table, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in rows if r[1] != item)
+
+
+def test_full_sets_hold_each_node_once(spark):
+    rng = random.Random(13)
+    texts = [words(rng, 40) for _ in range(3)]
+    rows = [(1, texts[0])] * 3 + [(1, texts[1]), (2, texts[2])]
+    source = minhash.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = minhash.Kept(spark, "sets-test")
+    sketches = kept.table(minhash.sketch(source), "s")
+    wanted = sketches.groupBy("doc_id", "th", "d1", "d2").agg(F.min("row").alias("node"))
+    found = minhash.full_sets(source, wanted, kept).collect()
+    assert len(found) == len({r.node for r in found}) == 3 and {len(r.elements) for r in found} == {36}
+
+
 def test_each_obfuscated_form_is_restored():
     import pyarrow as pa
 
