@@ -184,10 +184,18 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, network: Network | None) -> DataFrame:
-    """The rows whose language can be told, all columns as they were; the texts stay where they are."""
-    packed = docs.select(F.struct("*").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = predict(packed, network).where(F.col("lang_pred") != UNDETERMINED)
-    return found.select(*[F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns])
+    """The rows whose text has a letter, with the network's language where ``lang`` is null; other columns as they were.
+
+    The texts stay where they are. Without a network null languages stay null.
+    """
+    lettered = docs.where(F.coalesce(F.col("text").cast("string").rlike("\\p{L}"), F.lit(False)))
+    if network is None or "lang" not in docs.columns:
+        return lettered
+    packed = lettered.where("lang is null").select(F.struct("*").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = predict(packed, network)
+    new = {"lang": F.col("lang_pred").cast(docs.schema["lang"].dataType)}
+    filled = named.select(*[new.get(c, F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])
+    return lettered.where("lang is not null").unionByName(filled)
 
 
 def identify(docs: DataFrame, *, train_docs: int = TRAIN_DOCS) -> DataFrame:

@@ -75,6 +75,19 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_fills_nulls_and_keeps_unlabelled(spark):
+    rng = random.Random(2)
+    kinds = {"aa": "abcd", "bb": "wxyz"}
+    rows = [(i, " ".join("".join(rng.choices(kinds[k], k=5)) for _ in range(40)), k) for i in range(100) for k in [rng.choice(list(kinds))]]
+    table = spark.createDataFrame(rows + [(200, "12 !", "aa"), (201, None, None)], "doc_id long, text string, lang string")
+    hidden = table.withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.col("lang")))
+    found = language_id.keep_identified(hidden, language_id.train(hidden))
+    assert {(r.doc_id, r.text, r.lang) for r in found.collect()} == set(rows) and found.columns == table.columns
+    bare = table.withColumn("lang", F.lit(None).cast("string"))
+    found = language_id.keep_identified(bare, language_id.train(bare))
+    assert {(r.doc_id, r.lang) for r in found.collect()} == {(i, None) for i, _, _ in rows}
+
+
 def removed_bytes(rows, length):
     places = Counter(b[p : p + length] for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - length + 1))
     for i, t in rows:
