@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catloom.llm import (
-    decontaminate, language_id, line_dedup, minhash, packing, phrase_dedup, suffix_dedup, token_files, topk, toxicity,
+    bpe_text, collocations, decontaminate, language_id, line_dedup, minhash, packing, periodic_runs, phrase_dedup, suffix_dedup, token_files,
+    topk, toxicity,
 )
 from catloom.llm.common import documents
 from catloom.session import checkpoint_folder
@@ -73,9 +74,44 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_bpe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_text.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    digest = F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256)
+    numbered = coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "token_ids")
+    return bpe_text.decode(numbered).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents, of which a tenth, told by the crc32 of the id, repeat their words with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    marked = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    marked = marked.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    marked = marked.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')")
+    return marked.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(documents(spark, sf_dir).select("doc_id", "text")))
+    greater = "r.length * best.period > best.length * r.period"  # the greater share of length and period; the first run of equal ones
+    best = F.expr(f"aggregate(slice(runs, 2, greatest(size(runs) - 1, 0)), get(runs, 0), (best, r) -> if({greater}, r, best))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_suffix_dedup, op3_minhash_groups, op4_toxicity, op5_exact_topk, op6_decontaminate, op7_packing,
-    op8_phrase_dedup, op9_token_files, op10_line_dedup,
+    op8_phrase_dedup, op9_token_files, op10_line_dedup, op11_collocations, op12_bpe_text, op13_periodic_runs,
 )}
 
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -190,7 +226,65 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_lines, coalesce(h.n, 0)::BIGINT A
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN heads h USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
+_OP11 = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format(text="coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS MATERIALIZED (
+    SELECT lang, w FROM (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces) WHERE len(w) > 0
+), totals AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+    SELECT lang, m, phrase, count(*) AS a FROM (
+        SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) t(m) WHERE len(w) >= m)
+    ) GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+inner_ AS (
+    SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS i FROM candidates, range(2, 5) t(k) WHERE k < m) GROUP BY ALL
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c JOIN totals t ON t.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 : c.m], ' ')
+), weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, (row_number() OVER v)::BIGINT AS "rank", phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM weakest c LEFT JOIN inner_ i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 100 * a
+WINDOW v AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER v <= 2000
+"""
+
+# Any run holds 16 words in a row that agree with those a period later, so runs are unbroken series of equal 16-word strings at one distance.
+_OP13 = f"""
+WITH ids AS (
+    SELECT doc_id, text, xor(list_reduce(
+        list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+        lambda c, b: list_reduce(range(8), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)), xor(c, b)), 4294967295::BIGINT
+    ), 4294967295::BIGINT) AS h FROM documents
+), plain AS (SELECT doc_id, h, h // 10 AS g, {_WORDS.format(text="coalesce(text, '')")} AS w FROM ids),
+d AS MATERIALIZED (
+    SELECT doc_id, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)),
+        lambda i: w[1 + CASE WHEN i < g % len(w) THEN i ELSE g % len(w) + (i - g % len(w)) % (1 + (len(w) - g % len(w)) // (3 + g % 8)) END]) ELSE w END AS w
+    FROM plain
+), grams AS MATERIALIZED (
+    SELECT doc_id, n, i, md5(array_to_string(w[i + 1 : i + 16], ' ')) AS x FROM (SELECT doc_id, n, w, unnest(range(n - 15)) AS i FROM d WHERE n >= 24)
+), pairs AS (
+    SELECT p.doc_id, p.i, q.i - p.i AS period FROM grams p JOIN grams q ON p.doc_id = q.doc_id AND p.x = q.x AND q.i > p.i AND 3 * (q.i - p.i) <= p.n
+), series AS (SELECT doc_id, period, i, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS k FROM pairs),
+found AS (SELECT doc_id, period, min(i) AS start, count(*) + 15 + period AS length FROM series GROUP BY doc_id, period, k),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(period) AS period FROM found WHERE length >= greatest(24, 3 * period) GROUP BY ALL),
+totals AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id
+), best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length * 1000000000000000000::HUGEINT // period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+       (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN totals t USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 ORACLES = {
+    "op13_periodic_runs": _OP13,
+    "op11_collocations": _OP11,
     "op2_suffix_dedup": _OP2, "op3_minhash_groups": _OP3, "op5_exact_topk": _OP5, "op6_decontaminate": _OP6,
     "op8_phrase_dedup": _OP8, "op10_line_dedup": _OP10,
 }
