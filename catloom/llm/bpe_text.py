@@ -16,6 +16,7 @@ import base64
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from catloom.llm.tokenizing import tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SEGMENT_CHARS = 1 << 15
+SLICE_IDS = 1 << 19  # ids decoded at a time; a longer text is decoded alone
 _SAFE = re.compile(r"(?=[ \t\r\n]\S)|(?<=[A-Za-z])(?=[\x00-@\[-`{-\x7f])")
 _loaded: dict[tuple[str, str], "Codec"] = {}
 
@@ -107,7 +109,13 @@ def decode(coded: DataFrame, *, ranks: str | None = None, pat: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pat)
         for batch in batches:
-            found = pa.array([own.decode(x) for x in batch.column(len(others)).to_pylist()], pa.binary())
-            yield pa.record_batch([*(batch.column(i) for i in range(len(others))), found], [*others, data])
+            coded_ids = batch.column(len(others))
+            flat, ends = coded_ids.values.to_numpy(zero_copy_only=False), coded_ids.offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:  # a bounded number of ids at a time
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_IDS, "right")) - 1)
+                found = pa.array([own.decode(flat[ends[i] : ends[i + 1]].tolist()) for i in range(at, upto)], pa.binary())
+                yield pa.record_batch([*(batch.column(i).slice(at, upto - at) for i in range(len(others))), found], [*others, data])
+                at = upto
 
     return coded.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{ids}`")).mapInArrow(run, out)
