@@ -2,22 +2,25 @@
 
 Components become integers, so scores are exact. A node's bound for a query q is q.c + |q| * r with its centre c and
 radius r: no vector below scores more. Nodes are opened in the order of their bounds until the best bound lies below the
-k-th score so far. Queries are handled in blocks against shards. Each block first searches one shard; the k-th scores found
-there are then known to the searches of all other shards, which skip what lies below them. Nothing is broadcast: a task
-holds one shard and one block, both of bounded size.
+k-th score so far. Each vector lies in one shard and is sent there once per pass; queries, the smaller side, travel to the shards. First
+every query searches the shard it belongs to; the k-th scores found there are then known to the searches of all
+other shards, which skip what lies below them. Nothing is broadcast: a task holds one shard, of bounded size, and lets the queries
+pass by in batches.
 
 Edge cases: vectors that are null, empty of components or hold null or non-finite components take no part; vectors of another
 length than a query are no candidates of it; a query that has no other vector returns no row; equal scores go to the
-smaller id; rows that share an id are separate candidates, but none of them is a candidate of a query with that id.
-Scores are exact as long as they fit 64 bits.
+smaller id. Rows equal in id and vector count as one. Rows that share an id but not the vector are separate candidates, none of them
+a candidate of a query with that id; as a query such an id asks with the smallest of its vectors. Other columns are ignored. The
+result does not depend on the size of the shards. Scores are exact as long as they fit 64 bits.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,6 @@ K = 20
 SCALE = 64
 QUERY_MODULUS = 20
 SHARD_VECTORS = 16_384
-BLOCK_QUERIES = 2_048
 LEAF = 256
 
 
@@ -74,28 +76,51 @@ def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return vectors.astype(np.int64) @ query.astype(np.int64)
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score of at most k best candidates of each query that score at least its floor."""
-    tree = BallTree(vectors)
-    ordered, ids = vectors[tree.order], ids[tree.order]
-    bounds = tree.bounds(queries)
-    out_q, out_v, out_s = [], [], []
-    for row in range(len(queries)):
-        floor = floors[row]  # the k-th score known so far
+class Shard:
+    """The vectors of one shard, with a tree for each length of vectors."""
+
+    def __init__(self) -> None:
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.trees: dict[int, tuple[BallTree, np.ndarray, np.ndarray]] = {}
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.parts.setdefault(vectors.shape[1], []).append((ids, vectors))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> tuple[list, list, list]:
+        """query_id, vec_id, score of at most k best candidates of each query (all of one length) that score at least its floor."""
+        length = queries.shape[1]
+        if length not in self.parts:
+            return [], [], []
+        if length not in self.trees:
+            ids, vectors = (np.concatenate(x) for x in zip(*self.parts[length]))
+            tree = BallTree(vectors)
+            self.trees[length] = tree, vectors[tree.order], ids[tree.order]
+            self.parts[length] = [(ids[:0], vectors[:0])]
+        tree, ordered, ids = self.trees[length]
+        bounds = tree.bounds(queries)
+        out: tuple[list, list, list] = [], [], []
+        for row in range(len(queries)):
+            best_v, best_s = self._one(tree, ordered, ids, bounds[row], query_ids[row], queries[row], floors[row], k)
+            for part, values in zip(out, (np.full(len(best_s), query_ids[row]), best_v, best_s)):
+                part.append(values)
+        return out
+
+    @staticmethod
+    def _one(tree, ordered, ids, bounds, query_id, query, floor, k: int) -> tuple[np.ndarray, np.ndarray]:
         best_s, best_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        heap = [(-bounds[row, 0], 0)]
+        heap = [(-bounds[0], 0)]
         while heap:
             bound, node = heapq.heappop(heap)
-            if -bound < floor:
+            if -bound < floor:  # the k-th score known so far
                 break
             if tree.children[node] is not None:
                 for child in tree.children[node]:
-                    if bounds[row, child] >= floor:
-                        heapq.heappush(heap, (-bounds[row, child], child))
+                    if bounds[child] >= floor:
+                        heapq.heappush(heap, (-bounds[child], child))
                 continue
             lo, hi = tree.span[node]
-            score = _products(ordered[lo:hi], queries[row])
-            keep = (score >= floor) & (ids[lo:hi] != query_ids[row])
+            score = _products(ordered[lo:hi], query)
+            keep = (score >= floor) & (ids[lo:hi] != query_id)
             if not keep.any():
                 continue
             best_s, best_v = np.concatenate([best_s, score[keep]]), np.concatenate([best_v, ids[lo:hi][keep]])
@@ -103,27 +128,51 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             best_s, best_v = best_s[first], best_v[first]
             if len(best_s) == k:
                 floor = max(floor, best_s[-1])
-        out_q.append(np.full(len(best_s), query_ids[row]))
-        out_v.append(best_v)
-        out_s.append(best_s)
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pd.DataFrame({"query_id": join(out_q), "vec_id": join(out_v), "score": join(out_s)})
-
-
-def _by_shard(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best candidates of the queries in the shard of each (shard, block)."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for length in np.unique(right["v"].map(len)) if len(right) and len(left) else []:
-            own, asked = left[left["v"].map(len) == length], right[right["v"].map(len) == length]
-            if len(own):
-                parts.append(search(own["vec_id"].to_numpy(), np.stack(own["v"]).astype(np.float64), asked["query_id"].to_numpy(), np.stack(asked["v"]).astype(np.float64), asked["floor"].to_numpy(), k))
-        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-        return pd.concat([empty, *parts], ignore_index=True)
-
-    pairs = vectors.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block"))
-    return pairs.applyInPandas(run, "query_id long, vec_id long, score long")
+        return best_v, best_s
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, kind, first row, row after the last) of the unbroken runs of equal shard and kind."""
+    shard, kind = (batch.column(c).to_numpy() for c in ("shard", "kind"))
+    cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+    bounds = np.concatenate([[0], cuts, [len(shard)]])
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if hi > lo:
+            yield int(shard[lo]), int(kind[lo]), int(lo), int(hi)
+
+
+def _by_shard(vectors: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: the best candidates of the queries in the shards they are sent to.
+
+    Both kinds of rows are dealt by shard and sorted, a shard's vectors before its queries.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, Shard()
+        for batch in batches:
+            found: tuple[list, list, list] = [], [], []
+            flat = batch.column("v")
+            values, ends = flat.values.to_numpy(), flat.offsets.to_numpy()
+            for shard, kind, lo, hi in _runs(batch):
+                if shard != at:
+                    at, held = shard, Shard()
+                sizes = np.diff(ends[lo : hi + 1])
+                for length in np.unique(sizes):
+                    rows = lo + np.flatnonzero(sizes == length)
+                    own = values[ends[rows][:, None] + np.arange(length)]
+                    ids = batch.column("id").to_numpy()[rows]
+                    if kind == 0:
+                        held.add(ids, own)
+                    else:
+                        for part, more in zip(found, held.search(ids, own, batch.column("floor").to_numpy()[rows], k)):
+                            part.extend(more)
+            if found[0]:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in found], ["query_id", "vec_id", "score"])
+
+    rows = vectors.select("shard", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", F.lit(0).cast("long").alias("floor"))
+    rows = rows.unionByName(queries.select("shard", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v", "floor"))
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -132,31 +181,27 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(
-    embeddings: DataFrame, *, k: int = K, modulus: int = QUERY_MODULUS, scale: int = SCALE,
-    shard_vectors: int = SHARD_VECTORS, block_queries: int = BLOCK_QUERIES,
+    embeddings: DataFrame, *, k: int = K, modulus: int = QUERY_MODULUS, scale: int = SCALE, shard_vectors: int = SHARD_VECTORS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other vectors of each vector whose id is divisible by ``modulus``."""
     kept = Kept(embeddings.sparkSession, "topk")
     fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     usable = embeddings.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(fine)
-    vectors = kept.table(usable.select(F.col("vec_id").cast("long"), whole.alias("v")), "vectors")
-    n = vectors.count()
-    asked = vectors.where(F.col("vec_id") % modulus == 0)
-    shards, blocks = max(1, -(-n // shard_vectors)), max(1, -(-asked.count() // block_queries))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    home = F.pmod(F.col("block"), F.lit(shards))
-    stored = vectors.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = asked.withColumn("block", block).toDF("query_id", "v", "block")
+    vectors = kept.table(usable.select(F.col("vec_id").cast("long"), whole.alias("v")).distinct(), "vectors")
+    shards = max(1, -(-vectors.count() // shard_vectors))
+    shard = F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(shards)).cast("int")
+    stored = vectors.withColumn("shard", shard)
+    asked = vectors.where(F.col("vec_id") % modulus == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    asked = kept.table(asked.withColumn("home", F.pmod(F.xxhash64("query_id", F.hash("v")), F.lit(shards)).cast("int")), "asked")
     none = F.lit(-(1 << 63)).cast("long")
 
-    first = _by_shard(stored.where(F.col("shard") == home), queries.withColumn("shard", home).withColumn("floor", none), k)
+    first = _by_shard(stored, asked.withColumn("shard", F.col("home")).withColumn("floor", none), shards, k)
     first = kept.table(_best(first, k).drop("rank"), "first")
     if shards == 1:
         return _best(first, k).select("query_id", "rank", "vec_id", "score")
     floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
-    others = queries.distinct().join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none))
-    others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-    rest = _by_shard(stored.where(F.col("shard") != home), others, k)
+    others = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none))
+    others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
+    rest = _by_shard(stored, others, shards, k)
     return _best(first.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")

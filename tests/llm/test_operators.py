@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -225,7 +226,7 @@ def test_top_k(spark):
     rows = [*vectors.items(), (400, None), (420, [None] * 8), (440, [float("nan")] * 8), (460, [float("inf")] * 8), (480, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = defaultdict(list)
-    for r in topk.top_k(table, k=7, shard_vectors=60, block_queries=4).collect():
+    for r in topk.top_k(table, k=7, shard_vectors=60).collect():
         found[r.query_id].append((r.rank, r.score, r.vec_id))
     whole = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors.items()}
     for q in range(0, 300, 20):
@@ -235,6 +236,26 @@ def test_top_k(spark):
     assert topk.top_k(table.where("vec_id = 0")).count() == 0 and topk.top_k(table.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], "x", 1, 2.0) for i in range(200)]
+    rows += rows[:45] + [rows[20], rows[20]]  # equal rows, queries among them
+    rows += [(40, [0.5] * 6, "y", 1, 1.0), (41, [0.9] * 6, "y", 1, 1.0), (60, [-0.9] * 6, "y", 1, 1.0)]  # one id, two vectors
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, kind int, score double").repartition(5)
+    once = {(i, tuple(math.floor(64 * x) for x in v)) for i, v, *_ in rows}
+    want = {}
+    for q in {i for i, _ in once if i % 20 == 0}:
+        asked = min(v for i, v in once if i == q)
+        scored = sorted((-sum(a * b for a, b in zip(asked, v)), i) for i, v in once if i != q)
+        want[q] = [(i, -s) for s, i in scored[:20]]
+    for size in (16_384, 50, 7):
+        found = defaultdict(list)
+        for r in topk.top_k(table, shard_vectors=size).orderBy("query_id", "rank").collect():
+            found[r.query_id].append((r.vec_id, r.score))
+        assert found == want
+    assert all(len(x) == 20 for x in want.values())
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(8)
     items = [(1, words(rng, 30)), (2, "one"), (3, None), (4, ""), (5, corpus()[8][1]), (5, corpus()[8][1]), (10, words(rng, 5)), (11, "AAAA aaaa")]
