@@ -43,3 +43,20 @@ def rank_in_group(df: DataFrame, keys: list[str], order: str, out: str) -> DataF
         .withColumn(out, F.row_number().over(within) + F.col("_shift"))
         .select(*df.columns, out)
     )
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows before each one by the text column ``order``, unique within each group of non-null keys.
+
+    Dealt by ranges like ``rank_in_group``, so a group of any size is spread over tasks.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        dealt.join(shifts, [*keys, "_range"])
+        .withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)) + F.col("_shift"))
+        .select(*df.columns, out)
+    )

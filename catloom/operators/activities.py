@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from catloom.functions import fixed, text
-from catloom.functions.ranking import order_text, rank_in_group
-from catloom.session import checkpoint_folder, cut_lineage
+from catloom.functions.ranking import order_text, rank_in_group, running_total
+from catloom.session import cut_lineage
 
-# Groups up to this size are ordered inside one task; larger ones by joins, level by level.
+# Groups up to this size are ordered inside one task, which bounds its memory; larger ones by joins, chains at once.
 GROUP_ROWS = 10_000
 
 
@@ -80,51 +78,86 @@ def _order_small(activities: DataFrame) -> DataFrame:
 
 
 def _order_large(activities: DataFrame) -> DataFrame:
-    """Level by level with joins on (pipeline, activity).
+    """Order by joins, in rounds that grow with the logarithm of the longest chain for each level of joins between chains.
 
-    An activity's level follows that of the predecessor that lets it run, the one that completes its count. Within a level
-    activities are ranked by the rank of that predecessor, then by input order. Each level is added to one table.
+    The activity whose run lets another one run is its decisive predecessor. Decisive predecessors form trees, and the order is by
+    depth, then by place in the tree walked in input order (``_tree_places``). An activity that waits for a single other one has it
+    for its decisive predecessor, so whole chains and trees are placed at once. The others are decided in turn: those whose predecessors all
+    have a place, and those that would run first of their pipeline's open ones, since no later one can overtake them.
     """
-    spark = activities.sparkSession
-    folder = f"{checkpoint_folder(spark)}/levels-{uuid.uuid4().hex}"
-    nodes = cut_lineage(activities.select("pipeline_id", "ord", "name", F.size("depends_on").alias("_need"), "depends_on"))
-    waits = nodes.select("pipeline_id", F.explode(F.array_distinct("depends_on")).alias("_parent"), F.col("ord").alias("_child"))
-    frontier = nodes.where(F.col("_need") == 0).select("pipeline_id", "ord", "name", F.lit(0).cast("long").alias("_from"))
-    waiting = nodes.where(F.col("_need") > 0).select("pipeline_id", "ord", "name", "_need", F.lit(0).cast("long").alias("_got"))
-    level = 0
-    while not frontier.isEmpty():
-        keyed = frontier.withColumn("_order", order_text(F.col("_from"), F.col("ord")))
-        ranked = rank_in_group(keyed, ["pipeline_id"], "_order", "_rank").select("pipeline_id", "ord", "name", "_rank")
-        ranked.write.parquet(f"{folder}/_level={level}")
-        done = spark.read.schema(ranked.schema).parquet(f"{folder}/_level={level}")
-        arrived = waits.join(done.select("pipeline_id", F.col("name").alias("_parent"), "_rank"), ["pipeline_id", "_parent"]).select(
-            "pipeline_id", F.col("_child").alias("ord"), "_rank", order_text(F.col("_rank")).alias("_order")
-        )
-        counted = cut_lineage(rank_in_group(arrived, ["pipeline_id", "ord"], "_order", "_nth"))
-        frontier = cut_lineage(
-            counted.join(waiting, ["pipeline_id", "ord"])
-            .where(F.col("_nth") == F.col("_need") - F.col("_got"))
-            .select("pipeline_id", "ord", "name", F.col("_rank").alias("_from"))
-        )
-        new = counted.groupBy("pipeline_id", "ord").agg(F.max("_nth").alias("_new"))
-        waiting = cut_lineage(
-            waiting.join(new, ["pipeline_id", "ord"], "left")
-            .select("pipeline_id", "ord", "name", "_need", (F.col("_got") + F.coalesce("_new", F.lit(0))).alias("_got"))
-            .where(F.col("_got") < F.col("_need"))
+    key = F.struct("pipeline_id", "ord").alias("k")
+    nodes = cut_lineage(activities.select(key, "pipeline_id", "name", F.size("depends_on").alias("need"), "depends_on"))
+    waits = nodes.where("need > 0").select(F.col("k").alias("child"), "pipeline_id", "need", F.explode(F.array_distinct("depends_on")).alias("name"))
+    arrivals = waits.join(nodes.select(F.col("k").alias("parent"), "pipeline_id", "name"), ["pipeline_id", "name"])
+    arrivals = cut_lineage(arrivals.select("child", "parent", "need"))
+    known = arrivals.groupBy("child", "need").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"))
+    roots = nodes.where("need = 0").select("k", F.lit(None).cast(nodes.schema["k"].dataType).alias("up"))
+    links = cut_lineage(roots.unionByName(known.where("need = 1 and n = 1").select(F.col("child").alias("k"), F.col("parent").alias("up"))))
+    open_ = cut_lineage(known.where("n >= need and not (need = 1 and n = 1)").select("child", "n"))
+    lost = cut_lineage(nodes.select("k").join(links, "k", "left_anti").withColumn("up", F.col("k")))  # not decided: a pointer to itself
+    while True:
+        places = cut_lineage(_tree_places(links.unionByName(lost)))
+        if open_.isEmpty():
+            break
+        seen = arrivals.join(open_, "child").join(places.withColumnRenamed("k", "parent"), "parent")
+        seen = seen.withColumn("_order", order_text(F.col("level"), F.col("place")))
+        nth = rank_in_group(seen.withColumn("_child", F.col("child").cast("string")), ["_child"], "_order", "_nth")
+        ready = nth.groupBy("child", "n").agg(
+            F.count(F.lit(1)).alias("_seen"), F.max(F.when(F.col("_nth") == F.col("need"), F.struct("level", "parent"))).alias("_last")
+        ).where("_last is not null")
+        ready = cut_lineage(ready.select("child", "n", "_seen", "_last.*"))
+        first = ready.groupBy(F.col("child.pipeline_id").alias("p")).agg(F.min("level").alias("_least"))
+        sure = ready.join(first, F.col("child.pipeline_id") == F.col("p")).where("_seen = n or level = _least")
+        sure = cut_lineage(sure.select(F.col("child").alias("k"), F.col("parent").alias("up")))
+        if sure.isEmpty():
+            break
+        links = cut_lineage(links.unionByName(sure))
+        lost = cut_lineage(lost.join(sure.select("k"), "k", "left_anti"))
+        open_ = cut_lineage(open_.join(sure.select(F.col("k").alias("child")), "child", "left_anti"))
+    ranked = places.select("k.*", order_text(F.col("level"), F.col("place")).alias("_order"))
+    ranked = rank_in_group(ranked, ["pipeline_id"], "_order", "_rank")
+    placed = ranked.select("pipeline_id", "ord", (F.col("_rank") - 1).cast("long").alias("position"))
+    return activities.join(placed, ["pipeline_id", "ord"]).select(*activities.columns, "position")
+
+
+def _tree_places(links: DataFrame) -> DataFrame:
+    """k, level (depth) and place (preorder number, children in the order of ``ord``) of the nodes below roots.
+
+    ``links``: k, up (null for a root). Pointers are doubled: round r knows each node's ancestor 2**r steps up, the size of its
+    subtree less than 2**r steps down, and how far it is from the root. The preorder number is the sum, on the way to the
+    root, of the sizes of earlier siblings plus one, and is summed over the same pointers. Nodes on or below a cycle find no root and drop out.
+    """
+    state = cut_lineage(links.select("k", "up", F.lit(1).cast("long").alias("size"), F.col("up").isNotNull().cast("long").alias("level")))
+    pointers, below = [state], state.where("up is not null").count()
+    while below:
+        state = _doubled(state)
+        left = state.where("up is not null").count()
+        if left == below:  # no node met its root: the rest are cycles and what hangs on them
+            break
+        pointers.append(state)
+        below = left
+    sized = state.where("up is null").select("k", "size", "level")
+    siblings = links.join(sized, "k").withColumn("_parent", F.coalesce(F.col("up").cast("string"), F.col("k.pipeline_id")))
+    siblings = siblings.withColumn("_root", F.col("up").isNull()).withColumn("_order", order_text(F.col("k.ord")))
+    weighed = running_total(siblings, ["_root", "_parent"], "_order", "size", "_before")
+    place = cut_lineage(weighed.select("k", "level", (F.col("_before") + 1).alias("place")))
+    for step in pointers[:-1] if len(pointers) > 1 else []:
+        up = step.where("up is not null").select("k", "up")
+        more = up.join(place.select(F.col("k").alias("up"), F.col("place").alias("_more")), "up").select("k", "_more")
+        place = cut_lineage(place.join(more, "k", "left").select("k", "level", (F.col("place") + F.coalesce("_more", F.lit(0))).alias("place")))
+    return place
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """The next round of ``_tree_places``: every pointer twice as long."""
+    down = state.where("up is not null").groupBy(F.col("up").alias("k")).agg(F.sum("size").alias("_down"))
+    up = state.select(F.col("k").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"))
+    return cut_lineage(
+        state.join(up, "up", "left").join(down, "k", "left").select(
+            "k", F.col("_up").alias("up"), (F.col("size") + F.coalesce("_down", F.lit(0))).alias("size"),
+            (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"),
         )
-        level += 1
-
-    if level == 0:
-        return activities.where(F.lit(False)).withColumn("position", F.lit(0).cast("long"))
-    levels = [f"{folder}/_level={i}" for i in range(level)]
-    every = spark.read.option("basePath", folder).schema("pipeline_id string, ord long, _rank long, _level int").parquet(*levels)
-    sizes = every.groupBy("pipeline_id", "_level").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("pipeline_id").orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("pipeline_id", "_level", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    placed = every.join(shifts, ["pipeline_id", "_level"]).select(
-        "pipeline_id", "ord", (F.col("_shift") + F.col("_rank") - 1).alias("position")
     )
-    return activities.join(placed, ["pipeline_id", "ord"]).select(*activities.columns, "position")
 
 
 def notebook_positions(ordered: DataFrame) -> DataFrame:

@@ -11,16 +11,21 @@ Inputs used throughout:
 
 An edge row carries either its own ``input_refs`` or the name of a shared ``input_set``; the sets live once
 in ``input_sets``. So an edge never holds a list that grows with the catalog.
+
+Edges of tables that no source names are the same for all such tables of a container, so they are kept once for the
+container (``LayerEdges.groups``) beside the tables they hold for. ``expand_groups`` writes them out, a row per table and writer.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.functions import fixed, text
+from catloom.functions.ranking import order_text, rank_in_group
 from catloom.session import cut_lineage
 
 ALL_SILVER, ALL_BRONZE, BRONZE_FILES = "all_silver", "all_bronze", "bronze_files"
@@ -44,18 +49,11 @@ def table_names(layered: DataFrame) -> DataFrame:
     return layered.groupBy("tname").agg(F.min("out_ord").alias("first_ord"))
 
 
-def last_container(layered: DataFrame) -> DataFrame:
-    """Name -> display name of the last container that holds it."""
-    return layered.groupBy("tname").agg(F.max_by("output_lh", "out_ord").alias("output_lh"))
-
-
 def parsed_writers(layered: DataFrame, sources: DataFrame) -> DataFrame:
     """(table, writer) pairs where the writer's source names the table."""
     writes = sources.select("artifact_id", F.col("src_ord").alias("_o"), F.explode("writes").alias("tname"))
     order = F.struct(F.col("_o._kind").alias("a"), F.col("_o.ord").alias("b"), F.lit(0).cast("long").alias("c"))
-    return layered.join(writes, "tname").select(
-        *layered.columns, "artifact_id", order.alias("writer_ord"), F.lit(True).alias("parsed")
-    )
+    return layered.join(writes, "tname").select(*layered.columns, "artifact_id", order.alias("writer_ord"))
 
 
 def name_pieces(names: DataFrame, key: str, text_column: str, lengths: Column) -> DataFrame:
@@ -77,12 +75,36 @@ def domain_writers(domains: DataFrame, writers: DataFrame) -> DataFrame:
     return wanted.join(pieces, "piece").select("lh_id", "artifact_id").distinct()
 
 
-def fallback_writers(
-    layered: DataFrame, sources: DataFrame, transitions: DataFrame, artifacts: DataFrame, layer: str
-) -> DataFrame:
-    """Writers of tables no source names: by domain in the writer's name, else the layer's first writer."""
-    named = sources.select(F.explode("writes").alias("tname")).distinct()
-    orphans = layered.join(named, "tname", "left_anti")
+GROUP = ["lh_id", "namesake"]
+
+
+@dataclass(frozen=True)
+class LayerEdges:
+    """Edges into the tables of one layer.
+
+    * ``own``: an edge row per table and writer, for tables that some source names
+    * ``groups``: block, lh_id, namesake, lh_ord, writer_ord, notebook_id, notebook_name, input_set, input_refs, own_name, confidence,
+      notes; one row per group of other tables and writer. ``own_name``: each table is fed by its namesake.
+    * ``members``: block, lh_id, namesake, output_lh, output_table, tname, out_ord; the tables of the groups
+    """
+
+    own: DataFrame
+    groups: DataFrame
+    members: DataFrame
+
+    def kept(self) -> LayerEdges:
+        return LayerEdges(*(cut_lineage(df) for df in (self.own, self.groups, self.members)))
+
+
+def expand_groups(layer: LayerEdges) -> DataFrame:
+    """All edges of a layer, a row per table and writer."""
+    wide = layer.groups.join(layer.members.drop("block"), GROUP)
+    refs = F.when(F.col("own_name"), F.array("tname")).otherwise(F.col("input_refs"))
+    return layer.own.unionByName(wide.withColumn("input_refs", refs).select(*layer.own.columns))
+
+
+def fallback_groups(members: DataFrame, transitions: DataFrame, artifacts: DataFrame, layer: str) -> DataFrame:
+    """Writers of the tables no source names, once for each group: by domain in the writer's name, else the layer's first writer."""
     names = artifacts.where(F.col("type").isin("Notebook", *fixed.DATAFLOW_TYPES)).select(
         F.col("id").alias("artifact_id"), "display_name"
     )
@@ -91,18 +113,18 @@ def fallback_writers(
         .join(names, "artifact_id", "left")
         .select("artifact_id", F.coalesce("display_name", "artifact_id").alias("writer_name"), "ins")
     )
-    domains = orphans.select("lh_id", text.container_domain(F.col("output_lh"), layer).alias("domain")).distinct()
+    groups = members.groupBy(*GROUP).agg(F.min("output_lh").alias("output_lh"), F.min("out_ord.lh_ord").alias("lh_ord"))
+    domains = groups.select("lh_id", text.container_domain(F.col("output_lh"), layer).alias("domain")).distinct()
     matched = cut_lineage(domain_writers(domains, writers).join(writers.select("artifact_id", "ins"), "artifact_id"))
     order = F.struct(F.col("ins.block").alias("a"), F.col("ins.major").alias("b"), F.col("ins.minor").alias("c"))
-    by_domain = orphans.join(matched, "lh_id").select(
-        *layered.columns, "artifact_id", order.alias("writer_ord"), F.lit(False).alias("parsed")
-    )
+    cols = [*GROUP, "lh_ord"]
+    by_domain = groups.join(matched, "lh_id").select(*cols, "artifact_id", order.alias("writer_ord"))
     first = writers.agg(F.min_by(F.struct("artifact_id", order.alias("writer_ord")), "ins").alias("w")).scalar()
     by_layer = (
-        orphans.join(matched.select("lh_id").distinct(), "lh_id", "left_anti")
+        groups.join(matched.select("lh_id").distinct(), "lh_id", "left_anti")
         .withColumn("_w", first)
         .where(F.col("_w").isNotNull())
-        .select(*layered.columns, "_w.artifact_id", "_w.writer_ord", F.lit(False).alias("parsed"))
+        .select(*cols, "_w.artifact_id", "_w.writer_ord")
     )
     return by_domain.unionByName(by_layer)
 
@@ -127,12 +149,11 @@ def _with_sources(pairs: DataFrame, sources: DataFrame, artifacts: DataFrame) ->
     )
 
 
-def _carried(pairs: DataFrame) -> DataFrame:
-    """Facts one table's writers share: the first writer's method and the first writer without reads.
+def _carried(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts the writers of one table, or of one group, share: the first writer's method and the first writer without reads.
 
     Once a writer without reads was met, the changed confidence and note stay for the writers after it.
     """
-    keys = ["lh_id", "out_ord"]
     pairs = cut_lineage(pairs)
     shared = pairs.groupBy(*keys).agg(
         F.min_by("source_method", "writer_ord").alias("_method"),
@@ -143,32 +164,54 @@ def _carried(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _edge_rows(rows: DataFrame, block: str, input_set: Column, refs: Column, turned: Column) -> DataFrame:
-    """Common shape. ``turned`` is a struct (confidence, notes) for rows after the turn."""
-    start = F.when(
-        F.col("parsed"),
-        F.struct(
-            F.lit(fixed.PARSED).alias("confidence"), F.concat(F.lit(fixed.NOTE_PARSED), "_method").alias("notes")
-        ),
-    ).otherwise(F.struct(F.lit(fixed.INFERRED).alias("confidence"), F.lit(fixed.NOTE_POSITION).alias("notes")))
-    verdict = F.when(F.col("turned"), turned).otherwise(start)
-    return rows.select(
-        F.lit(block).alias("block"), "out_ord", "writer_ord", "lh_id", "output_lh", "output_table",
-        F.col("artifact_id").alias("notebook_id"), "notebook_name",
-        input_set.alias("input_set"), refs.alias("input_refs"), verdict.alias("_v"),
-    ).select("*", "_v.*").drop("_v")
+def _verdict(parsed: bool, turned: Column) -> Column:
+    """Confidence and notes; ``turned`` is that struct for rows after the turn."""
+    if parsed:
+        start = (F.lit(fixed.PARSED), F.concat(F.lit(fixed.NOTE_PARSED), "_method"))
+    else:
+        start = (F.lit(fixed.INFERRED), F.lit(fixed.NOTE_POSITION))
+    return F.when(F.col("turned"), turned).otherwise(F.struct(start[0].alias("confidence"), start[1].alias("notes")))
+
+
+def _layer(
+    block: str, layered: DataFrame, sources: DataFrame, transitions: DataFrame, artifacts: DataFrame,
+    namesakes: DataFrame | None, inputs,
+) -> LayerEdges:
+    """The edges of a layer. ``inputs``: rows -> (rows, input_set, input_refs, own_name, turned verdict)."""
+    if namesakes is None:
+        layered = layered.withColumn("namesake", F.lit(False))
+    else:
+        layered = layered.join(namesakes.select("tname", F.lit(True).alias("namesake")), "tname", "left").withColumn(
+            "namesake", F.coalesce("namesake", F.lit(False))
+        )
+    layer_name = block.capitalize()
+    named = sources.select(F.explode("writes").alias("tname")).distinct()
+    members = layered.join(named, "tname", "left_anti").select(
+        F.lit(block).alias("block"), *GROUP, "output_lh", "output_table", "tname", "out_ord"
+    )
+    writer = [F.col("artifact_id").alias("notebook_id"), "notebook_name"]
+
+    pairs = _carried(_with_sources(parsed_writers(layered, sources), sources, artifacts), ["lh_id", "out_ord"])
+    rows, input_set, refs, own_name, turned = inputs(pairs)
+    own = rows.select(
+        F.lit(block).alias("block"), "out_ord", "writer_ord", "lh_id", "output_lh", "output_table", *writer,
+        input_set.alias("input_set"), F.when(own_name, F.array("tname")).otherwise(refs).alias("input_refs"),
+        _verdict(True, turned).alias("_v"),
+    )
+    pairs = _carried(_with_sources(fallback_groups(members, transitions, artifacts, layer_name), sources, artifacts), GROUP)
+    rows, input_set, refs, own_name, turned = inputs(pairs)
+    groups = rows.select(
+        F.lit(block).alias("block"), *GROUP, "lh_ord", "writer_ord", *writer, input_set.alias("input_set"),
+        refs.alias("input_refs"), own_name.alias("own_name"), _verdict(False, turned).alias("_v"),
+    )
+    return LayerEdges(own.select("*", "_v.*").drop("_v"), groups.select("*", "_v.*").drop("_v"), members)
 
 
-def gold_edges(
+def gold_layer(
     containers: DataFrame, tables: DataFrame, artifacts: DataFrame, sources: DataFrame, transitions: DataFrame
-) -> DataFrame:
+) -> LayerEdges:
     """Gold table <- writer <- silver tables."""
-    gold = layer_tables(containers, tables, "Gold")
     silver = table_names(layer_tables(containers, tables, "Silver"))
-    pairs = parsed_writers(gold, sources).unionByName(
-        fallback_writers(gold, sources, transitions, artifacts, "Gold")
-    )
-    rows = _carried(_with_sources(pairs, sources, artifacts))
     known = (
         sources.select("artifact_id", F.explode("reads").alias("tname"))
         .join(silver.select("tname"), "tname", "left_semi")
@@ -177,48 +220,53 @@ def gold_edges(
     )
     none = F.array().cast("array<string>")
     turned = F.struct(F.lit(fixed.INFERRED).alias("confidence"), F.lit(fixed.NOTE_ALL_SILVER).alias("notes"))
-    return _edge_rows(
-        rows.join(known, "artifact_id", "left"), "gold",
-        F.when(~F.col("has_reads"), F.lit(ALL_SILVER)),
-        F.when(F.col("has_reads"), F.coalesce("_refs", none)),
-        turned,
-    )
+
+    def inputs(rows: DataFrame):
+        return (
+            rows.join(known, "artifact_id", "left"), F.when(~F.col("has_reads"), F.lit(ALL_SILVER)),
+            F.when(F.col("has_reads"), F.coalesce("_refs", none)), F.lit(False), turned,
+        )
+
+    return _layer("gold", layer_tables(containers, tables, "Gold"), sources, transitions, artifacts, None, inputs)
 
 
-def silver_edges(
+def silver_layer(
     containers: DataFrame, tables: DataFrame, artifacts: DataFrame, sources: DataFrame, transitions: DataFrame
-) -> DataFrame:
+) -> LayerEdges:
     """Silver table <- writer <- bronze tables or files."""
-    silver = layer_tables(containers, tables, "Silver")
     bronze = layer_tables(containers, tables, "Bronze")
-    pairs = parsed_writers(silver, sources).unionByName(
-        fallback_writers(silver, sources, transitions, artifacts, "Silver")
-    )
-    same = bronze.select("tname", F.lit(True).alias("_same")).distinct()
     any_bronze = bronze.limit(1).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
-    rows = (
-        _carried(_with_sources(pairs, sources, artifacts))
-        .join(same, "tname", "left")
-        .withColumn("_same", F.coalesce("_same", F.lit(False)))
-        .join(sources.select("artifact_id", F.col("reads").alias("_reads")), "artifact_id", "left")
-        .withColumn("_any", any_bronze)
-    )
 
     def verdict(confidence: str, note: str) -> Column:
         return F.struct(F.lit(confidence).alias("confidence"), F.lit(note).alias("notes"))
 
     turned = (
-        F.when(F.col("_same"), verdict(fixed.INFERRED, fixed.NOTE_SAME_NAME))
+        F.when(F.col("namesake"), verdict(fixed.INFERRED, fixed.NOTE_SAME_NAME))
         .when(F.col("_any"), verdict(fixed.NEEDS_REVIEW, fixed.NOTE_ALL_BRONZE))
         .otherwise(verdict(fixed.INFERRED, fixed.NOTE_FILES))
     )
     shared = F.when(F.col("_any"), F.lit(ALL_BRONZE)).otherwise(F.lit(BRONZE_FILES))
-    return _edge_rows(
-        rows, "silver",
-        F.when(~F.col("has_reads") & ~F.col("_same"), shared),
-        F.when(F.col("has_reads"), F.col("_reads")).when(F.col("_same"), F.array("tname")),
-        turned,
-    )
+
+    def inputs(rows: DataFrame):
+        reads = sources.select("artifact_id", F.col("reads").alias("_reads"))
+        return (
+            rows.join(reads, "artifact_id", "left").withColumn("_any", any_bronze),
+            F.when(~F.col("has_reads") & ~F.col("namesake"), shared),
+            F.when(F.col("has_reads"), F.col("_reads")), ~F.col("has_reads") & F.col("namesake"), turned,
+        )
+
+    silver = layer_tables(containers, tables, "Silver")
+    return _layer("silver", silver, sources, transitions, artifacts, bronze.select("tname").distinct(), inputs)
+
+
+def gold_edges(*inputs: DataFrame) -> DataFrame:
+    """Gold edges, a row per table and writer."""
+    return expand_groups(gold_layer(*inputs))
+
+
+def silver_edges(*inputs: DataFrame) -> DataFrame:
+    """Silver edges, a row per table and writer."""
+    return expand_groups(silver_layer(*inputs))
 
 
 def input_sets(containers: DataFrame, tables: DataFrame, files: DataFrame) -> DataFrame:
@@ -255,6 +303,27 @@ def input_sets(containers: DataFrame, tables: DataFrame, files: DataFrame) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
+SET_PIECE = 10_000  # members whose names are joined in one step
+
+
+def set_texts(sets: DataFrame) -> DataFrame:
+    """input_set, set_text: the members of each set, in order, as one text.
+
+    Members are numbered by value ranges and joined in pieces of ``SET_PIECE``, then the pieces; the text is made once per set,
+    and edges take it by the set's name.
+    """
+    order = F.concat_ws("\u0001", order_text(F.col("ref_ord.a"), F.col("ref_ord.b")), "ref")
+    ranked = rank_in_group(sets.select("input_set", "ref", order.alias("_order")), ["input_set"], "_order", "_no")
+
+    def joined(df: DataFrame, keys: list[str], place: str, part: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(F.col(place).alias("i"), F.col(part).alias("x"))))
+        return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["x"]), ", ").alias("set_text"))
+
+    piece = F.floor((F.col("_no") - 1) / SET_PIECE).alias("_piece")
+    pieces = joined(ranked.select("*", piece), ["input_set", "_piece"], "_no", "ref")
+    return joined(pieces, ["input_set"], "_piece", "set_text")
+
+
 def expand_inputs(edges: DataFrame, sets: DataFrame, splits: int | None = None) -> DataFrame:
     """One row per edge and input, with ``ref`` and ``ref_ord``; edges without inputs drop out.
 
@@ -275,23 +344,39 @@ def expand_inputs(edges: DataFrame, sets: DataFrame, splits: int | None = None)
     return own.unionByName(shared)
 
 
-def source_artifacts(edges: DataFrame) -> DataFrame:
-    """Lower-case table name -> writer of its last edge (gold edges before silver edges)."""
-    return edges.groupBy(F.lower("output_table").alias("_t")).agg(
-        F.max_by("notebook_name", F.struct("block", "out_ord", "writer_ord")).alias("source_artifact")
-    )
+def source_artifacts(*layers: LayerEdges) -> DataFrame:
+    """Lower-case table name -> writer of its last edge (gold edges before silver edges); groups give their last writer once."""
+    parts = []
+    for layer in layers:
+        parts.append(layer.own.select(
+            F.lower("output_table").alias("_t"), F.struct("block", "out_ord", "writer_ord").alias("_o"), "notebook_name"
+        ))
+        last = layer.groups.groupBy(*GROUP).agg(F.max_by(F.struct("writer_ord", "notebook_name"), "writer_ord").alias("_w"))
+        parts.append(layer.members.join(last, GROUP).select(
+            F.col("tname").alias("_t"), F.struct("block", "out_ord", F.col("_w.writer_ord").alias("writer_ord")).alias("_o"),
+            F.col("_w.notebook_name").alias("notebook_name"),
+        ))
+    return reduce(DataFrame.unionByName, parts).groupBy("_t").agg(F.max_by("notebook_name", "_o").alias("source_artifact"))
 
 
-def fill_source_artifact(tables: DataFrame, edges: DataFrame) -> DataFrame:
+def fill_source_artifact(tables: DataFrame, *layers: LayerEdges) -> DataFrame:
     """Set ``source_artifact`` of every table whose name an edge writes."""
     base = tables.drop("source_artifact")
     return (
         base.withColumn("_t", F.lower("table_name"))
-        .join(source_artifacts(edges), "_t", "left")
+        .join(source_artifacts(*layers), "_t", "left")
         .select(*base.columns, F.coalesce("source_artifact", F.lit("")).alias("source_artifact"))
     )
 
 
+def count_edges(layer: LayerEdges) -> DataFrame:
+    """One row: how many edges ``expand_groups`` would give (``total``)."""
+    per = [df.groupBy(*GROUP).agg(F.count(F.lit(1)).alias(n)) for df, n in ((layer.groups, "_w"), (layer.members, "_t"))]
+    wide = per[0].join(per[1], GROUP).select((F.col("_w") * F.col("_t")).alias("_n"))
+    own = layer.own.agg(F.count(F.lit(1)).alias("_n"))
+    return own.unionByName(wide).agg(F.sum("_n").cast("long").alias("total"))
+
+
 def data_sources(containers: DataFrame, files: DataFrame) -> DataFrame:
     """Rows on what feeds bronze: one per file, or a stub for a bronze container without files."""
     homes = containers.where(F.col("layer") == "Bronze").select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.functions import fixed
+from catloom.operators.factored import feeds_of_tables
 
 
 def _nodes(objects: DataFrame, kind: str, prefix: str, *extra: str) -> DataFrame:
@@ -159,3 +160,10 @@ def full_chain_by_use(objects: DataFrame, relationships: DataFrame, ordered: boo
     tables = _nodes(objects, "Table", "t", "layer")
     rows = _uses(relationships).join(tables, F.col("table_id") == F.col("t_id")).join(_report_pages(objects), "page_id")
     return _chain(rows, objects, relationships.where(F.col("relationships_type") == "derives_from"), ordered)
+
+
+def full_chain_factored(objects: DataFrame, relationships: DataFrame, ordered: bool = True) -> DataFrame:
+    """``full_chain_by_use`` over factored edges: a shared input set shows as one source, whatever its size."""
+    tables = _nodes(objects, "Table", "t", "layer")
+    rows = _uses(relationships).join(tables, F.col("table_id") == F.col("t_id")).join(_report_pages(objects), "page_id")
+    return _chain(rows, objects, feeds_of_tables(relationships), ordered)

@@ -46,17 +46,31 @@ class Collection:
     tables: DataFrame
     columns: DataFrame
     activities: DataFrame
-    gold: DataFrame
-    silver: DataFrame
+    gold: edges.LayerEdges
+    silver: edges.LayerEdges
     input_sets: DataFrame
     data_sources: DataFrame
 
     @property
     def edges(self) -> DataFrame:
-        return self.gold.unionByName(self.silver)
+        """All edges, a row per table and writer; what a document lists. Graphs are built from the layers."""
+        return edges.expand_groups(self.gold).unionByName(edges.expand_groups(self.silver))
 
     def frames(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
+        """Frames by name; a layer's are named for the layer and their part."""
+        out = {}
+        for name, value in vars(self).items():
+            out |= {f"{name}_{k}": v for k, v in vars(value).items()} if isinstance(value, edges.LayerEdges) else {name: value}
+        return out
+
+    @classmethod
+    def of_frames(cls, frames: dict[str, DataFrame]) -> Collection:
+        """The collection whose ``frames`` these are."""
+        def layer(name: str) -> edges.LayerEdges:
+            return edges.LayerEdges(*(frames[f"{name}_{part}"] for part in ("own", "groups", "members")))
+
+        plain = {k: v for k, v in frames.items() if k in cls.__dataclass_fields__}
+        return cls(**plain, gold=layer("gold"), silver=layer("silver"))
 
 
 def _tables(profile: DataFrame, containers: DataFrame) -> DataFrame:
@@ -106,12 +120,12 @@ def collect_workspace(inputs: WorkspaceInputs, layers: str | None = None, mode:
     )
     transitions = A.layer_transitions(ordered, tables, artifacts)
 
-    gold = cut_lineage(edges.gold_edges(containers, tables, artifacts, sources, transitions))
-    silver = cut_lineage(edges.silver_edges(containers, tables, artifacts, sources, transitions))
+    gold = edges.gold_layer(containers, tables, artifacts, sources, transitions).kept()
+    silver = edges.silver_layer(containers, tables, artifacts, sources, transitions).kept()
     return Collection(
         artifacts=artifacts.where(F.col("type").isin(fixed.DOCUMENTED_TYPES)),
         containers=containers,
-        tables=edges.fill_source_artifact(tables, gold.unionByName(silver)),
+        tables=edges.fill_source_artifact(tables, gold, silver),
         columns=columns,
         activities=items.activity_notebook_names(ordered, artifacts),
         gold=gold,

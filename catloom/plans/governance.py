@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catloom.operators import graph, items, measures, reports
+from catloom.operators import factored, graph, items, measures, reports
+from catloom.operators.edges import LayerEdges
 from catloom.operators.graph import GraphContext
 from catloom.session import cut_lineage
 from catloom.sources.definitions import stored_measure_deps
@@ -124,19 +125,30 @@ def build_graph(
     artifacts: DataFrame,
     tables: DataFrame,
     columns: DataFrame,
-    edges: DataFrame,
     input_sets: DataFrame,
     inputs: ReportInputs,
     usage: Usage,
+    edges: DataFrame | None = None,
+    layers: list[LayerEdges] | None = None,
     page_map_edges: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(objects, relationships). ``page_map_edges`` also writes page edges of maps without visuals."""
+    """(objects, relationships). ``page_map_edges`` also writes page edges of maps without visuals.
+
+    With ``layers`` the lineage is stored in factored form (see ``factored``), whose rows grow with the tables; with ``edges`` (a row
+    per table and writer) as one row per input and table.
+    """
+    if (edges is None) == (layers is None):
+        raise ValueError("give either edges or layers")
     objects = graph.build_objects(
         ctx, artifacts=artifacts, reports=inputs.reports, pages=inputs.pages, visuals=usage.visuals,
         tables=tables, columns=columns,
     )
     keys = cut_lineage(graph.table_keys(tables, inputs.reports, usage.report_containers, usage.page_maps, ctx))
-    derived = graph.derivation_edges(ctx, edges, input_sets, keys, artifacts)
+    if layers is None:
+        derived = graph.derivation_edges(ctx, edges, input_sets, keys, artifacts)
+    else:
+        nodes, derived = factored.factor(ctx, layers, input_sets, keys, artifacts)
+        objects = objects.unionByName(nodes)
     used = graph.usage_edges(
         ctx, usage.visual_tables, inputs.pages, keys, usage.page_maps if page_map_edges else None
     )

@@ -50,6 +50,12 @@ SELECT l_orderkey AS pipeline_id, l_linenumber AS ord,
        concat('lh-', CAST(min(l_suppkey) AS STRING)) AS notebook_id,
        CASE WHEN l_linenumber > 1 THEN concat('act_', CAST(l_linenumber - 1 AS STRING), CASE (l_linenumber - 1) % 4 WHEN 1 THEN '_silver' WHEN 2 THEN '_gold' ELSE '' END) ELSE NULL END AS depends_on
 FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    # Lines of an order as a tree with listing order against it: line 6 waits for two, some lines for themselves or for nobody known.
+    "fx_tied_activities": """
+SELECT pipeline_id, n, 100 - n AS ord, concat('a', CAST(n AS STRING)) AS name,
+       CASE WHEN n = 1 THEN '' WHEN n > 7 THEN 'a1' WHEN n = 6 THEN 'a2,a3' WHEN n = 5 AND pipeline_id % 3 = 0 THEN 'a2,a5' WHEN n = 4 AND pipeline_id % 5 = 0 THEN 'ghost'
+            WHEN n < 4 THEN 'a1' WHEN n = 7 THEN 'a3' ELSE 'a2' END AS waits
+FROM (SELECT l_orderkey AS pipeline_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) x""",
     "fx_measures": """
 SELECT concat('ds-', CAST(l_suppkey % 50 AS STRING)) AS dataset_id, concat('Measures ', CAST(l_partkey AS STRING)) AS measure_group,
        l_linenumber % 3 AS source_priority,

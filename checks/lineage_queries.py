@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def _activities(s, d) -> DataFrame:
     )
 
 
+def _tied(s, d) -> DataFrame:
+    waits = F.when(F.col("waits") == "", F.array().cast("array<string>")).otherwise(F.split("waits", ","))
+    return fixture(s, d, "fx_tied_activities").select(
+        F.col("pipeline_id").alias("pipeline_ord"), F.col("pipeline_id").cast("string").alias("pipeline_id"), F.col("ord").cast("long").alias("ord"),
+        "name", F.lit("").alias("notebook_id"), waits.alias("depends_on"),
+    )
+
+
 def _scripts(s, d, mode="compat") -> DataFrame:
     return code_refs.script_references(fixture(s, d, "fx_sources"), mode=mode)
 
@@ -60,17 +70,15 @@ def lineage_files(s, d) -> DataFrame:
     )
 
 
-def gold(s, d) -> DataFrame:
-    return edges.gold_edges(*lineage_inputs(s, d))
-
-
-def silver(s, d) -> DataFrame:
-    return edges.silver_edges(*lineage_inputs(s, d))
+def layers(s, d) -> list[edges.LayerEdges]:
+    """The edges into gold and silver tables, those of a container's unclaimed tables once for the container."""
+    inputs = lineage_inputs(s, d)
+    return [edges.gold_layer(*inputs), edges.silver_layer(*inputs)]
 
 
 def all_edges(s, d) -> DataFrame:
-    inputs = lineage_inputs(s, d)
-    return edges.gold_edges(*inputs).unionByName(edges.silver_edges(*inputs))
+    gold, silver = layers(s, d)
+    return edges.expand_groups(gold).unionByName(edges.expand_groups(silver))
 
 
 def input_sets(s, d) -> DataFrame:
@@ -112,6 +120,8 @@ QUERIES = {
         "doc_id", F.array_join("reads", ", ").alias("reads"), F.array_join("writes", ", ").alias("writes")
     ),
     "activity_order": lambda s, d: A.run_order(_activities(s, d)).select("pipeline_id", "ord", "name", "position"),
+    "activity_order_ties": lambda s, d: A.run_order(_tied(s, d)).select("pipeline_id", "ord", "name", "position"),
+    "activity_order_by_chains": lambda s, d: A.run_order(_tied(s, d), group_rows=2).select("pipeline_id", "ord", "name", "position"),
     "activities_never_run": lambda s, d: A.never_run(_activities(s, d), A.run_order(_activities(s, d))).select(
         "pipeline_id", "ord", "name"
     ),
@@ -119,13 +129,21 @@ QUERIES = {
         "pipeline_id", "ord", "notebook_name"
     ),
     "layer_transitions": lambda s, d: _transitions(s, d).select("artifact_id", "read_layer", "write_layer"),
-    "edges_gold": lambda s, d: _edge_columns(gold(s, d)),
-    "edges_silver": lambda s, d: _edge_columns(silver(s, d)),
+    "edges_gold": lambda s, d: _edge_columns(edges.gold_edges(*lineage_inputs(s, d))),
+    "edges_silver": lambda s, d: _edge_columns(edges.silver_edges(*lineage_inputs(s, d))),
+    "edge_groups": lambda s, d: reduce(DataFrame.unionByName, [x.groups for x in layers(s, d)]).select(
+        "block", "lh_id", "namesake", "notebook_id", "notebook_name", "input_set", "own_name",
+        F.when(~F.col("own_name"), F.array_join("input_refs", ", ")).alias("inputs"), "confidence", "notes",
+    ),
+    "edge_group_members": lambda s, d: reduce(DataFrame.unionByName, [x.members for x in layers(s, d)]).select(
+        "block", "lh_id", "namesake", "output_lh", "output_table"
+    ),
+    "input_set_texts": lambda s, d: edges.set_texts(input_sets(s, d)),
     "edge_inputs": lambda s, d: edges.expand_inputs(all_edges(s, d), input_sets(s, d))
     .groupBy("block", "output_lh", "output_table", "notebook_name")
     .agg(F.count(F.lit(1)).alias("n_inputs"), F.min("ref").alias("first_ref"), F.max("ref").alias("last_ref")),
     "input_sets": lambda s, d: input_sets(s, d).select("input_set", "ref"),
-    "source_backfill": lambda s, d: edges.fill_source_artifact(full_tables(s, d), all_edges(s, d)).select(
+    "source_backfill": lambda s, d: edges.fill_source_artifact(full_tables(s, d), *layers(s, d)).select(
         "lh_id", "ord", "table_name", "source_artifact"
     ),
     "data_sources": lambda s, d: edges.data_sources(fixture(s, d, "fx_containers"), lineage_files(s, d)).drop("row_ord"),
@@ -135,12 +153,12 @@ QUERIES = {
             {"workspace_name": F.lit("fx"), "last_modified": F.lit(""), "created_by": F.lit("")}
         )
     ),
-    "doc_tables": lambda s, d: docs.tables_view(edges.fill_source_artifact(full_tables(s, d), all_edges(s, d))),
+    "doc_tables": lambda s, d: docs.tables_view(edges.fill_source_artifact(full_tables(s, d), *layers(s, d))),
     "doc_sources": lambda s, d: docs.sources_view(
         edges.data_sources(fixture(s, d, "fx_containers"), lineage_files(s, d))
     ),
-    "doc_lineage": lambda s, d: docs.lineage_view(all_edges(s, d)),
-    "lineage_lines": lambda s, d: docs.lineage_lines(all_edges(s, d)).select("block", "line"),
+    "doc_lineage": lambda s, d: docs.lineage_view(all_edges(s, d), edges.set_texts(input_sets(s, d))),
+    "lineage_lines": lambda s, d: docs.lineage_lines(all_edges(s, d), edges.set_texts(input_sets(s, d))).select("block", "line"),
 }
 
 # SQL steps ----------------------------------------------------------------
@@ -267,7 +285,7 @@ LEFT JOIN fx_artifacts a ON a.id = p.artifact_id AND a.type = 'Notebook'
 WINDOW w AS (PARTITION BY p.lh_id, p.out_ord ORDER BY p.wo)"""
 
 STEPS["st_gold"] = """
-SELECT 'gold' AS block, e.out_ord, e.wo, output_lh, output_table, artifact_id AS notebook_id, notebook_name,
+SELECT 'gold' AS block, lh_id, tname, parsed, false AS namesake, false AS own_name, e.out_ord, e.wo, output_lh, output_table, artifact_id AS notebook_id, notebook_name,
   CASE WHEN NOT has_reads THEN 'all_silver' END AS input_set,
   CASE WHEN has_reads THEN list_filter(reads, lambda x: list_contains(known, x)) END AS refs,
   CASE WHEN turned OR NOT parsed THEN 'INFERRED' ELSE 'PARSED' END AS confidence,
@@ -278,7 +296,7 @@ FROM st_edges e, (SELECT list(DISTINCT tname) AS known FROM st_layered WHERE lay
 WHERE e.layer = 'Gold'"""
 
 STEPS["st_silver"] = """
-SELECT 'silver' AS block, e.out_ord, e.wo, output_lh, output_table, artifact_id AS notebook_id, notebook_name,
+SELECT 'silver' AS block, lh_id, tname, parsed, same_name AS namesake, NOT has_reads AND same_name AS own_name, e.out_ord, e.wo, output_lh, output_table, artifact_id AS notebook_id, notebook_name,
   CASE WHEN NOT has_reads AND NOT same_name THEN 'all_bronze' END AS input_set,
   CASE WHEN has_reads THEN reads WHEN same_name THEN [tname] END AS refs,
   CASE WHEN NOT turned THEN CASE WHEN parsed THEN 'PARSED' ELSE 'INFERRED' END
@@ -301,6 +319,12 @@ SELECT DISTINCT CASE layer WHEN 'Silver' THEN 'all_silver' ELSE 'all_bronze' END
 FROM st_layered WHERE layer IN ('Silver', 'Bronze')
 UNION ALL SELECT 'bronze_files', concat(display_name, '/', coalesce(rel, 'Files/ (file source)')) FROM st_files"""
 
+# Members in order: silver tables as first seen, bronze tables by name, files by container and listing.
+STEPS["st_set_texts"] = """
+SELECT 'all_silver' AS input_set, string_agg(tname, ', ' ORDER BY first) AS set_text FROM (SELECT tname, min(out_ord) AS first FROM st_layered WHERE layer = 'Silver' GROUP BY tname)
+UNION ALL SELECT 'all_bronze', string_agg(tname, ', ' ORDER BY tname) FROM (SELECT DISTINCT tname FROM st_layered WHERE layer = 'Bronze')
+UNION ALL SELECT 'bronze_files', string_agg(concat(display_name, '/', coalesce(rel, 'Files/ (file source)')), ', ' ORDER BY lh_ord, CAST(regexp_extract(name, 'f([0-9]+)[.]html$', 1) AS BIGINT)) FROM st_files"""
+
 STEPS["st_expanded"] = """
 SELECT block, out_ord, wo, output_lh, output_table, notebook_name, confidence, unnest(refs) AS ref FROM st_all_edges WHERE input_set IS NULL
 UNION ALL
@@ -327,7 +351,12 @@ FROM fx_tables t JOIN fx_containers c ON c.id = t.lh_id LEFT JOIN st_backfill b
 
 _EDGE_OUT = """
 SELECT output_lh, output_table, notebook_id, notebook_name, input_set, array_to_string(refs, ', ') AS inputs, confidence, notes FROM """
-_INPUTS = "coalesce(array_to_string(refs, ', '), concat('(', replace(input_set, '_', ' '), ')'))"
+_INPUTS = "coalesce(array_to_string(refs, ', '), (SELECT set_text FROM st_set_texts t WHERE t.input_set = e.input_set))"
+
+_TIES = """
+SELECT CAST(pipeline_id AS VARCHAR) AS pipeline_id, CAST(ord AS BIGINT) AS ord, name,
+  row_number() OVER (PARTITION BY pipeline_id ORDER BY CASE WHEN n = 1 THEN 0 WHEN n < 4 OR n > 7 THEN 1 ELSE 2 END, CASE WHEN n IN (4, 5, 6) THEN 1 ELSE 0 END, n DESC) - 1 AS position
+FROM fx_tied_activities WHERE NOT (n = 5 AND pipeline_id % 3 = 0) AND NOT (n = 4 AND pipeline_id % 5 = 0)"""
 
 ORACLES = {
     "layer_detect": with_fixtures("""
@@ -352,6 +381,8 @@ SELECT notebook_id, array_to_string(list_sort(list_distinct(list_transform(
     "activity_order": with_fixtures(
         "SELECT CAST(pipeline_id AS VARCHAR) AS pipeline_id, CAST(ord AS BIGINT) AS ord, name, position FROM st_order"
     ),
+    "activity_order_ties": with_fixtures(_TIES),
+    "activity_order_by_chains": with_fixtures(_TIES),
     "activities_never_run": with_fixtures("""
 SELECT CAST(a.pipeline_id AS VARCHAR) AS pipeline_id, CAST(a.ord AS BIGINT) AS ord, a.name FROM fx_activities a
 WHERE NOT EXISTS (SELECT 1 FROM st_order o WHERE o.pipeline_id = a.pipeline_id AND o.ord = a.ord)"""),
@@ -361,6 +392,13 @@ FROM fx_activities a LEFT JOIN fx_artifacts n ON n.id = a.notebook_id AND n.type
     "layer_transitions": with_fixtures("SELECT artifact_id, read_layer, write_layer FROM st_transitions"),
     "edges_gold": with_fixtures(_EDGE_OUT + "st_gold"),
     "edges_silver": with_fixtures(_EDGE_OUT + "st_silver"),
+    "edge_groups": with_fixtures("""
+SELECT DISTINCT block, lh_id, namesake, notebook_id, notebook_name, input_set, own_name,
+  CASE WHEN NOT own_name THEN array_to_string(refs, ', ') END AS inputs, confidence, notes FROM st_all_edges WHERE NOT parsed"""),
+    "edge_group_members": with_fixtures("""
+SELECT CASE layer WHEN 'Gold' THEN 'gold' ELSE 'silver' END AS block, lh_id,
+  layer = 'Silver' AND tname IN (SELECT tname FROM st_layered WHERE layer = 'Bronze') AS namesake, output_lh, output_table FROM st_orphans"""),
+    "input_set_texts": with_fixtures("SELECT input_set, set_text FROM st_set_texts"),
     "edge_inputs": with_fixtures("""
 SELECT block, output_lh, output_table, notebook_name, count(*) AS n_inputs, min(ref) AS first_ref, max(ref) AS last_ref
 FROM st_expanded GROUP BY ALL"""),
@@ -378,9 +416,9 @@ SELECT coalesce(g.i, s.i) AS row_no, g.output_lh AS gold_lh, g.output_table AS g
   s.output_lh AS silver_lh, s.output_table AS silver_table, s.notebook_name AS silver_writer, s.inputs AS silver_inputs,
   concat_ws(chr(10), CASE WHEN g.i IS NOT NULL THEN concat('G→S: ', g.confidence, ' — ', g.notes) END,
                      CASE WHEN s.i IS NOT NULL THEN concat('S→B: ', s.confidence, ' — ', s.notes) END) AS notes
-FROM (SELECT *, {_INPUTS} AS inputs, row_number() OVER (ORDER BY out_ord, wo) AS i FROM st_gold) g
-FULL JOIN (SELECT *, {_INPUTS} AS inputs, row_number() OVER (ORDER BY out_ord, wo) AS i FROM st_silver) s ON g.i = s.i"""),
+FROM (SELECT *, {_INPUTS} AS inputs, row_number() OVER (ORDER BY out_ord, wo) AS i FROM st_gold e) g
+FULL JOIN (SELECT *, {_INPUTS} AS inputs, row_number() OVER (ORDER BY out_ord, wo) AS i FROM st_silver e) s ON g.i = s.i"""),
     "lineage_lines": with_fixtures(f"""
 SELECT block, concat('  [', confidence, '] ', output_table, ' (', output_lh, ')', chr(10), '       <- ', notebook_name, chr(10),
-  '       <- ', CASE WHEN {_INPUTS} = '' THEN '(unknown)' ELSE {_INPUTS} END, chr(10), '       note: ', notes) AS line FROM st_all_edges"""),
+  '       <- ', CASE WHEN {_INPUTS} = '' THEN '(unknown)' ELSE {_INPUTS} END, chr(10), '       note: ', notes) AS line FROM st_all_edges e"""),
 }

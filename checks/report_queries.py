@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catloom.operators import docs, edges, graph, items, measures, reports, views
+from catloom.operators import docs, edges, factored, graph, items, measures, reports, views
 from catloom.session import cut_lineage
 from checks import lineage_queries as L
 from checks.compose import STEPS, with_fixtures
@@ -128,15 +128,30 @@ def _part_columns(s, d) -> DataFrame:
     ).drop("share")
 
 
-def relationships(s, d) -> DataFrame:
+def _lineage_graph(s, d) -> tuple[graph.GraphContext, DataFrame, DataFrame]:
+    """Context, nodes of shared inputs and table groups, and all edges, lineage in factored form."""
     g = _graph_inputs(s, d)
     mapped = g["visuals"].select("report_id")
-    keys = graph.table_keys(g["tables"], g["reports"], g["containers"], mapped, g["ctx"])
-    keys = cut_lineage(keys)
-    lineage = cut_lineage(L.all_edges(s, d))
-    derived = graph.derivation_edges(g["ctx"], lineage, L.input_sets(s, d), keys, fixture(s, d, "fx_artifacts"))
+    keys = cut_lineage(graph.table_keys(g["tables"], g["reports"], g["containers"], mapped, g["ctx"]))
+    kept = [x.kept() for x in L.layers(s, d)]
+    nodes, derived = factored.factor(g["ctx"], kept, L.input_sets(s, d), keys, fixture(s, d, "fx_artifacts"))
     used = graph.usage_edges(g["ctx"], g["shown"], g["pages"], keys)
-    return graph.build_relationships(derived, used)
+    return g["ctx"], nodes, graph.build_relationships(derived, used)
+
+
+def _whole_graph(s, d) -> tuple[DataFrame, DataFrame]:
+    _, nodes, edges_ = _lineage_graph(s, d)
+    return cut_lineage(objects(s, d).unionByName(nodes)), cut_lineage(edges_)
+
+
+def _expanded(s, d) -> DataFrame:
+    ctx, _, edges_ = _lineage_graph(s, d)
+    return factored.expand(ctx, cut_lineage(edges_))
+
+
+def _edge_counts(objects_: DataFrame, edges_: DataFrame) -> DataFrame:
+    rows = views.lineage(objects_, edges_, ordered=False)
+    return rows.groupBy("source_type", "relationships_type", "target_layer", "confidence_score", "detection_method").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def _graph_rows(df: DataFrame) -> DataFrame:
@@ -147,10 +162,10 @@ def _graph_rows(df: DataFrame) -> DataFrame:
 
 
 def _summary(s, d) -> DataFrame:
-    ed = cut_lineage(L.all_edges(s, d))
+    gold, silver = L.layers(s, d)
     return docs.run_summary(
         artifacts=fixture(s, d, "fx_items"), tables=fixture(s, d, "fx_tables"), columns=_part_columns(s, d),
-        gold_edges=ed.where(F.col("block") == "gold"), silver_edges=ed.where(F.col("block") == "silver"),
+        gold_edges=gold.kept(), silver_edges=silver.kept(),
         data_sources=edges.data_sources(fixture(s, d, "fx_containers"), L.lineage_files(s, d)),
     )
 
@@ -178,11 +193,15 @@ QUERIES = {
         fixture(s, d, "fx_parts").select("report_id", "path"),
     ),
     "objects": lambda s, d: _graph_rows(objects(s, d)),
-    "relationships": lambda s, d: _graph_rows(relationships(s, d)),
-    "graph_lineage": lambda s, d: views.lineage(cut_lineage(objects(s, d)), cut_lineage(relationships(s, d)), ordered=False)
-    .groupBy("source_type", "relationships_type", "target_layer", "confidence_score", "detection_method")
-    .agg(F.count(F.lit(1)).alias("n_edges")),
-    "graph_hidden_edges": lambda s, d: graph.hidden_edges(relationships(s, d), objects(s, d)),
+    "relationships": lambda s, d: _graph_rows(_lineage_graph(s, d)[2]),
+    "relationships_expanded": lambda s, d: _graph_rows(_expanded(s, d)),
+    "lineage_nodes": lambda s, d: _graph_rows(_lineage_graph(s, d)[1]),
+    "graph_lineage": lambda s, d: _edge_counts(*_whole_graph(s, d)),
+    "graph_lineage_expanded": lambda s, d: _edge_counts(cut_lineage(objects(s, d)), _expanded(s, d)),
+    "graph_hidden_edges": lambda s, d: factored.hidden_edges(_lineage_graph(s, d)[2].transform(cut_lineage), objects(s, d)),
+    "graph_full_chain": lambda s, d: views.full_chain_factored(*_whole_graph(s, d)).groupBy(
+        "report", "page", "table_name", "source_notebook", "confidence_score"
+    ).agg(F.count(F.lit(1)).alias("n_rows")),
     "doc_columns": lambda s, d: docs.columns_view(_part_columns(s, d)),
     "run_summary": lambda s, d: _summary(s, d),
 }
@@ -347,6 +366,63 @@ UNION ALL SELECT sha256(concat(target, '|needs_review|', writer)), source, targe
 UNION ALL SELECT DISTINCT sha256(concat(visual, '|', target, '|pbip_visual')), visual, target, 'uses', NULL, NULL, CAST(1.0 AS DECIMAL(5,4)), 'pbip_visual' FROM st_used
 UNION ALL SELECT DISTINCT sha256(concat(page, '|', target, '|pbip_page')), page, target, 'uses', NULL, NULL, CAST(1.0 AS DECIMAL(5,4)), 'pbip_page' FROM st_used"""
 
+# The factored graph: a table that no source names hangs on the group of its container, shared inputs hang on their set.
+STEPS["st_fe"] = """
+SELECT e.*, k.oid AS target, CASE WHEN parsed THEN k.oid ELSE sha256(concat('table_group|', lh_id, CASE WHEN namesake THEN '=' ELSE '' END)) END AS node,
+  [CASE block WHEN 'gold' THEN 0 ELSE 1 END, CASE WHEN parsed THEN out_ord ELSE out_ord // 1000000000 * 1000000000 END, wo] AS o
+FROM st_all_edges e JOIN st_keys k ON k.lh_key = lower(e.output_lh) AND k.tname = lower(e.output_table)"""
+
+STEPS["st_finside"] = """
+SELECT DISTINCT input_set, coalesce(n.first_id, sha256(concat('unresolved|', s.ref))) AS source FROM st_sets s LEFT JOIN st_by_name n ON n.tname = lower(s.ref)"""
+
+STEPS["st_flinks"] = """
+SELECT *, row_number() OVER (PARTITION BY node ORDER BY o) AS place FROM (
+  SELECT node, input_set, min(o) AS o, arg_min(notebook_name, o) AS writer, arg_min(confidence, o) AS confidence
+  FROM st_fe WHERE input_set IS NOT NULL AND confidence <> 'NEEDS REVIEW' GROUP BY node, input_set)"""
+
+STEPS["st_fall"] = """
+SELECT node, source, min(o) AS o, arg_min(notebook_name, o) AS writer, arg_min(confidence, o) AS confidence FROM (
+  SELECT x.node, x.o, x.notebook_name, x.confidence, coalesce(n.first_id, sha256(concat('unresolved|', x.ref))) AS source
+  FROM (SELECT node, o, notebook_name, confidence, unnest(refs) AS ref FROM st_fe
+        WHERE input_set IS NULL AND confidence <> 'NEEDS REVIEW' AND NOT (own_name AND NOT parsed)) x
+  LEFT JOIN st_by_name n ON n.tname = lower(x.ref)) GROUP BY node, source"""
+
+STEPS["st_frefs"] = """
+SELECT * FROM st_fall r WHERE NOT EXISTS (
+  SELECT 1 FROM st_flinks l JOIN st_finside i ON i.input_set = l.input_set WHERE l.node = r.node AND i.source = r.source AND l.o < r.o)"""
+
+STEPS["st_ftwins"] = """
+SELECT * FROM (
+  SELECT e.node, e.target, coalesce(n.first_id, sha256(concat('unresolved|', e.tname))) AS source, min(e.o) AS o,
+    arg_min(e.notebook_name, e.o) AS writer, arg_min(e.confidence, e.o) AS confidence
+  FROM st_fe e LEFT JOIN st_by_name n ON n.tname = e.tname WHERE e.own_name AND NOT e.parsed AND e.confidence <> 'NEEDS REVIEW' GROUP BY 1, 2, 3) w
+WHERE NOT EXISTS (SELECT 1 FROM st_frefs r WHERE r.node = w.node AND r.source = w.source AND r.o < w.o)
+  AND NOT EXISTS (SELECT 1 FROM st_flinks l JOIN st_finside i ON i.input_set = l.input_set WHERE l.node = w.node AND i.source = w.source AND l.o < w.o)"""
+
+STEPS["st_frel"] = """
+SELECT sha256(concat(source, '|', target, '|derives_from')) AS relationships_id, source AS source_objects_id, target AS target_objects_id, 'derives_from' AS relationships_type,
+  how AS transformation_type, CAST(NULL AS VARCHAR) AS transformation_expr, writer AS code_reference,
+  CAST(CASE confidence WHEN 'PARSED' THEN 1.0 ELSE 0.5 END AS DECIMAL(5,4)) AS confidence_score, CASE confidence WHEN 'PARSED' THEN 'static_parse' ELSE 'inferred' END AS detection_method
+FROM (SELECT source, node AS target, writer, confidence, CAST(NULL AS VARCHAR) AS how FROM st_frefs
+  UNION ALL SELECT source, target, writer, confidence, NULL FROM st_ftwins
+  UNION ALL SELECT sha256(concat('input_set|', input_set)), node, writer, confidence, concat('shared set ', place) FROM st_flinks)
+UNION ALL SELECT sha256(concat(source, '|', sha256(concat('input_set|', input_set)), '|member_of')), source, sha256(concat('input_set|', input_set)), 'member_of',
+  NULL, NULL, NULL, CAST(1.0 AS DECIMAL(5,4)), 'factored' FROM st_finside
+UNION ALL SELECT DISTINCT sha256(concat(node, '|', target, '|covers')), node, target, 'covers', NULL, NULL, NULL, CAST(1.0 AS DECIMAL(5,4)), 'factored' FROM st_fe WHERE NOT parsed
+UNION ALL SELECT DISTINCT sha256(concat(e.node, '|needs_review|', e.notebook_name)), coalesce(a.id, e.notebook_name), e.node, 'derives_from', NULL,
+  'NEEDS REVIEW — candidates not resolved', e.notebook_name, CAST(0.25 AS DECIMAL(5,4)), 'manual'
+  FROM st_fe e LEFT JOIN fx_artifacts a ON a.display_name = e.notebook_name WHERE e.confidence = 'NEEDS REVIEW'
+UNION ALL SELECT relationships_id, source_objects_id, target_objects_id, relationships_type, NULL, transformation_expr, code_reference, confidence_score, detection_method
+  FROM st_rel WHERE relationships_type = 'uses'"""
+
+STEPS["st_fnodes"] = """
+SELECT sha256(concat('input_set|', input_set)) AS objects_id, 'InputSet' AS objects_type, replace(input_set, '_', ' ') AS item_name,
+  CAST(NULL AS VARCHAR) AS owner_email, CAST(NULL AS VARCHAR) AS properties_json FROM (SELECT DISTINCT input_set FROM st_sets)
+UNION ALL SELECT DISTINCT node, 'TableGroup', concat('unclaimed tables of ', lh_id, CASE WHEN namesake THEN '=' ELSE '' END), NULL, NULL FROM st_fe WHERE NOT parsed"""
+
+STEPS["st_all_nodes"] = """
+SELECT objects_id, objects_type, layer, item_name FROM st_nodes UNION ALL SELECT objects_id, objects_type, NULL, item_name FROM st_fnodes"""
+
 ORACLES = {
     "known_tables": with_fixtures("SELECT known FROM st_known"),
     "dax_refs": with_fixtures("SELECT * FROM st_dax"),
@@ -377,10 +453,28 @@ FROM st_page_tables p JOIN (SELECT report_id, count(DISTINCT path) AS n FROM fx_
     "objects": with_fixtures(f"""
 SELECT objects_id, objects_type, layer, 'fx' AS workspace_name, 'ws' AS workspace_id, item_name, fq_name, schema_name, parent_objects_id, {_NODE_TAIL} FROM st_nodes"""),
     "relationships": with_fixtures(f"""
+SELECT relationships_id, source_objects_id, target_objects_id, relationships_type, transformation_type, transformation_expr,
+  code_reference, CAST(NULL AS VARCHAR) AS run_id, confidence_score, detection_method, 1 AS is_active, '{RUN_TS}' AS first_seen_datetime FROM st_frel"""),
+    "lineage_nodes": with_fixtures(f"""
+SELECT objects_id, objects_type, CAST(NULL AS VARCHAR) AS layer, 'fx' AS workspace_name, 'ws' AS workspace_id, item_name, concat('fx.', item_name) AS fq_name,
+  CAST(NULL AS VARCHAR) AS schema_name, 'ws' AS parent_objects_id, {_NODE_TAIL} FROM st_fnodes"""),
+    "graph_full_chain": with_fixtures("""
+SELECT r.name AS report, p.display_name AS page, t.item_name AS table_name, f.source_notebook, f.confidence_score, count(*) AS n_rows
+FROM (SELECT DISTINCT page, target FROM st_used) u JOIN st_nodes t ON t.objects_id = u.target
+JOIN fx_pages p ON sha256(concat(p.report_id, '|', p.page_id)) = u.page JOIN st_model_reports r ON r.report_id = p.report_id
+LEFT JOIN (SELECT coalesce(c.target, e.target_objects_id) AS target, n.item_name AS source_notebook, e.confidence_score
+  FROM st_frel e LEFT JOIN (SELECT DISTINCT node, target FROM st_fe WHERE NOT parsed) c ON c.node = e.target_objects_id
+  LEFT JOIN (SELECT objects_id, item_name FROM st_nodes UNION ALL SELECT objects_id, item_name FROM st_fnodes) n ON n.objects_id = e.source_objects_id
+  WHERE e.relationships_type = 'derives_from') f ON f.target = u.target
+GROUP BY ALL"""),
+    "relationships_expanded": with_fixtures(f"""
 SELECT relationships_id, source_objects_id, target_objects_id, relationships_type, CAST(NULL AS VARCHAR) AS transformation_type, transformation_expr,
   code_reference, CAST(NULL AS VARCHAR) AS run_id, confidence_score, detection_method, 1 AS is_active, '{RUN_TS}' AS first_seen_datetime FROM st_rel"""),
     "graph_lineage": with_fixtures("""
 SELECT s.objects_type AS source_type, r.relationships_type, t.layer AS target_layer, r.confidence_score, r.detection_method, count(*) AS n_edges
+FROM st_frel r JOIN st_all_nodes s ON s.objects_id = r.source_objects_id JOIN st_all_nodes t ON t.objects_id = r.target_objects_id GROUP BY ALL"""),
+    "graph_lineage_expanded": with_fixtures("""
+SELECT s.objects_type AS source_type, r.relationships_type, t.layer AS target_layer, r.confidence_score, r.detection_method, count(*) AS n_edges
 FROM st_rel r JOIN st_nodes s ON s.objects_id = r.source_objects_id JOIN st_nodes t ON t.objects_id = r.target_objects_id GROUP BY ALL"""),
     "graph_hidden_edges": with_fixtures("""
 SELECT relationships_type, count(*) AS n_hidden FROM st_rel WHERE source_objects_id NOT IN (SELECT objects_id FROM st_nodes) GROUP BY 1"""),

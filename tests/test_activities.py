@@ -77,6 +77,24 @@ def test_repeated_names_give_one_order_at_every_size(spark):
     assert [small["p", i] for i in range(6)] == [0, 1, 2, 5, 3, 4] and ("p", 6) not in small
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n = 20_000
+    rows = [(0, "p", i, f"a{i}", "", [f"a{i - 1}"] if i else []) for i in range(n)]
+    # Two shorter chains beside it, one joined to the long one, and a cycle.
+    rows += [(0, "p", n + i, f"b{i}", "", [f"b{i - 1}"] if i else []) for i in range(50)]
+    rows += [(0, "p", 2 * n, "join", "", ["a30", "b30"]), (0, "p", 2 * n + 1, "x", "", ["y"]), (0, "p", 2 * n + 2, "y", "", ["x"])]
+    rounds, plain = [], A._doubled
+    monkeypatch.setattr(A, "_doubled", lambda state: rounds.append(1) or plain(state))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.name: r.position for r in A.run_order(df, group_rows=100).collect()}
+    assert len(got) == len(rows) - 2 and not {"x", "y"} & set(got)
+    assert len(rounds) < 40
+    # a0 b0 a1 b1 ... ; the join follows b30 at the next level, after a31 and b31.
+    assert [got[f"a{i}"] for i in range(30)] == [2 * i for i in range(30)] and got["b30"] == 61
+    assert (got["a31"], got["b31"], got["join"], got["a32"]) == (62, 63, 64, 65)
+    assert got["a50"] == 51 + 50 + 1 - 1 and got["a19999"] == len(rows) - 3
+
+
 def transitions(spark, rows, layers, artifacts):
     df = spark.createDataFrame(rows, SCHEMA)
     tables = spark.createDataFrame([(x,) for x in layers], "layer string")

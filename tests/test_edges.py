@@ -96,9 +96,9 @@ def test_expanded_inputs(spark):
 
 def test_backfill_takes_the_last_edge(spark):
     inputs, _ = world(spark)
-    every = edges.gold_edges(*inputs).unionByName(edges.silver_edges(*inputs))
+    layers = edges.gold_layer(*inputs), edges.silver_layer(*inputs)
     tables = inputs[1].withColumn("source_artifact", F.lit("old"))
-    got = {r.table_name: r.source_artifact for r in edges.fill_source_artifact(tables, every).collect()}
+    got = {r.table_name: r.source_artifact for r in edges.fill_source_artifact(tables, *layers).collect()}
     assert got == {
         "Orders": "nb_silver", "orders": "nb_silver", "lines": "nb_silver", "solo": "nb_silver", "Sales": "n5",
         "orphan": "nb_ops_gold", "all": "nb_ops_gold", "far": "x9", "raw": "",
@@ -135,3 +135,29 @@ def test_lineage_view_zips_blocks(spark):
     assert got[0].notes == f"G→S: PARSED — {fixed.NOTE_PARSED}local_file\nS→B: INFERRED — {fixed.NOTE_SAME_NAME}"
     lines = docs.lineage_lines(every).orderBy("block", "out_ord", "writer_ord").first().line
     assert lines == f"  [PARSED] Sales (gold_wh_ops)\n       <- nb_sales\n       <- lines\n       note: {fixed.NOTE_PARSED}local_file"
+
+
+def test_groups_hold_one_row_per_writer(spark):
+    inputs, _ = world(spark)
+    gold, silver = edges.gold_layer(*inputs), edges.silver_layer(*inputs)
+    assert sorted((r.lh_id, r.notebook_name) for r in gold.groups.collect()) == [("g1", "nb_ops_gold"), ("g2", "nb_ops_gold"), ("g2", "x9"), ("g3", "x9")]
+    assert sorted((r.lh_id, r.namesake, r.own_name, r.input_set) for r in silver.groups.collect()) == [("s1", False, False, edges.ALL_BRONZE), ("s1", True, True, None)]
+    for layer in (gold, silver):
+        assert edges.count_edges(layer).first().total == edges.expand_groups(layer).count()
+
+
+def test_lineage_with_member_texts(spark, monkeypatch):
+    inputs, files = world(spark)
+    sets = edges.input_sets(inputs[0], inputs[1], files)
+    for piece in (1, 2, 10_000):
+        monkeypatch.setattr(edges, "SET_PIECE", piece)
+        texts = {r.input_set: r.set_text for r in edges.set_texts(sets).collect()}
+        assert texts == {
+            edges.ALL_SILVER: "orders, lines, solo", edges.ALL_BRONZE: "orders, raw",
+            edges.BRONZE_FILES: "bronze_lh_in/Files/d/a.CSV, bronze_lh_in/plain, bronze_lh_two/Files/ (file source)",
+        }
+    every = edges.gold_edges(*inputs)
+    got = {(r.gold_table, r.gold_writer): r.gold_inputs for r in docs.lineage_view(every, edges.set_texts(sets)).collect()}
+    assert got["far", "x9"] == got["Sales", "nb_late"] == "orders, lines, solo" and got["Sales", "nb_sales"] == "lines"
+    lines = [r.line for r in docs.lineage_lines(every, edges.set_texts(sets)).collect()]
+    assert sum("<- orders, lines, solo\n" in x for x in lines) == 5 and not any("(all silver)" in x for x in lines)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from catloom.operators import docs, graph, measures, profile, views
+from catloom.operators import docs, edges, graph, measures, profile, views
 from catloom.plans.collect import WorkspaceInputs, collect_workspace
 from catloom.plans.governance import ReportInputs, build_graph, report_usage
 
@@ -72,9 +72,9 @@ def test_whole_run(spark):
     assert {(r.table_name, r.lh_id): (r.row_count, r.source_artifact) for r in got.tables.collect()} == {
         ("orders", "b"): (5, "nb_silver"), ("orders", "s"): (3, "nb_silver"), ("sales", "g"): (2, "nb_gold"),
     }
-    gold = [(r.output_table, r.notebook_name, r.input_refs, r.confidence) for r in got.gold.collect()]
+    gold = [(r.output_table, r.notebook_name, r.input_refs, r.confidence) for r in edges.expand_groups(got.gold).collect()]
     assert gold == [("sales", "nb_gold", ["orders"], "PARSED")]
-    silver = [(r.output_table, r.notebook_name, r.input_refs, r.confidence) for r in got.silver.collect()]
+    silver = [(r.output_table, r.notebook_name, r.input_refs, r.confidence) for r in edges.expand_groups(got.silver).collect()]
     assert silver == [("orders", "nb_silver", ["orders"], "INFERRED")]
     assert [r.notebook_name for r in got.activities.orderBy("position").collect()] == ["nb_silver", "nb_gold"]
     assert got.data_sources.count() == 1 and got.artifacts.count() == 5 and got.columns.count() == 3
@@ -103,7 +103,7 @@ def test_whole_run(spark):
 def test_layer_filter_limits_tables(spark):
     got = collect_workspace(inputs(spark), layers="gold")
     assert [r.table_name for r in got.tables.collect()] == ["sales"]
-    assert got.silver.count() == 0
+    assert edges.expand_groups(got.silver).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
