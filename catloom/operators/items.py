@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.functions import fixed, text
+from catloom.functions.documents import with_json
 from catloom.functions.ranking import keep_first
 
 
+_ITEM_PATHS = [
+    "id", "displayName", "type", "description", "workspaceId", "properties.lastModifiedAt", "properties.modifiedDateTime",
+    "properties.createdBy",
+]
+
+
 def in_scope(items: DataFrame) -> DataFrame:
     return items.where(F.col("type").isin(fixed.IN_SCOPE_TYPES))
 
@@ -25,7 +32,7 @@ def _json(path: str, kind: str = "string", doc: str = "_v") -> Column:
 
 def normalize_items(raw: DataFrame, workspace_id: str, workspace_name: str) -> DataFrame:
     """Items from JSON texts (columns ``ord``, ``raw``) in the shape of ``schemas.ARTIFACTS``."""
-    parsed = raw.withColumn("_v", F.try_parse_json("raw")).where(F.col("_v").isNotNull())
+    parsed = with_json(raw, "raw", "_v", _ITEM_PATHS).where(F.col("_v").isNotNull())
     name, description = _json("$.displayName"), F.coalesce(_json("$.description"), F.lit(""))
     return parsed.select(
         *[c for c in raw.columns if c != "raw"],
@@ -50,7 +57,7 @@ def normalize_items(raw: DataFrame, workspace_id: str, workspace_name: str) -> D
 
 def normalize_containers(artifacts: DataFrame, details: DataFrame) -> DataFrame:
     """Add endpoint and paths from detail JSON (columns ``id``, ``detail``). No connection text, no endpoint."""
-    props = details.select(F.col("id"), F.try_parse_json("detail").alias("_v"))
+    props = with_json(details.select("id", "detail"), "detail", "_v", ["properties"]).select("id", "_v")
     connection = text.first_filled(
         _json("$.properties.sqlEndpointProperties.connectionString"), _json("$.properties.connectionString")
     )

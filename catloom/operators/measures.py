@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.functions import refs, text
+from catloom.functions.documents import with_json
 from catloom.sources.definitions import decoded_parts
 
 _RUN = r"[a-z0-9_]+"
@@ -59,7 +60,8 @@ def not_physical(measures: DataFrame, known: DataFrame) -> DataFrame:
 
 def measures_of_model(models: DataFrame) -> DataFrame:
     """Measures of model documents (columns dataset_id, model): every table's measures, physical or not."""
-    doc = models.select("dataset_id", F.try_parse_json("model").alias("_v"))
+    parts = ["tables.*.name", "tables.*.measures.*.expression"]
+    doc = with_json(models.select("dataset_id", "model"), "model", "_v", [*parts, *(f"model.{p}" for p in parts)])
     tables = F.coalesce(
         F.try_variant_get("_v", "$.model.tables", "array<variant>"), F.try_variant_get("_v", "$.tables", "array<variant>")
     )

@@ -6,65 +6,38 @@ resolve entity names.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from catloom.functions import fixed, text
+from catloom.functions.documents import entities_any_depth, with_json
 from catloom.functions.ranking import keep_last, rank_in_group
 
 _VISUAL_PATH = r"^(?:(?!visuals/)[^/]*/)*?([^/]+)/visuals/(?:.*/)?visual\.json$"
 _ARCHIVE_LIST_PATH = r"^[^/]+/[^/]+/definition/pages/pages\.json$"
 _ARCHIVE_VISUAL_PATH = r"^[^/]+/[^/]+/definition/pages/([^/]+)/visuals/[^/]+/visual\.json$"
+_REPORT_PATHS = ["visual.visualType", "visual.visualContainerObjects.title", "pageOrder"]
 _REF_KEY = r'"SourceRef"'
 _FLAT_REF = r'"SourceRef"\s*:\s*(\{(?:[^{}"\\]++|"[^"\\]*+")*+\})'  # braces inside a text do not count
 _TWO_NAMES = r'(?s)"Entity".*"Entity"'
 _ENTITY = r'"Entity"\s*:\s*"([^"]*)"'
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _entities_any_depth(documents: pd.Series) -> pd.Series:
-    """Source entities of JSON texts at any depth; null texts and bad JSON give an empty list."""
-
-    def collect(doc: str | None) -> list[str]:
-        found: dict[str, None] = {}
-        try:
-            stack = [json.loads(doc)] if doc is not None else []
-        except ValueError:
-            stack = []
-        while stack:
-            node = stack.pop()
-            if isinstance(node, dict):
-                ref = node.get("SourceRef")
-                name = ref.get("Entity") if isinstance(ref, dict) else None
-                if isinstance(name, str) and name:
-                    found[name] = None
-                stack.extend(node.values())
-            elif isinstance(node, list):
-                stack.extend(node)
-        return list(found)
-
-    return documents.map(collect)
-
-
-def with_entities(docs: DataFrame, content: str = "content") -> DataFrame:
+def with_entities(docs: DataFrame, content: str = "content", plain: str | None = None) -> DataFrame:
     """Add ``entities``: distinct source entities at any depth.
 
     Flat references, the usual form, are read by a pattern in the JVM. A text is sent to Python only when the
     pattern does not account for every reference key in it, as with an escape or a nested value, or a reference
-    names two entities.
+    names two entities, or the column ``plain`` says that keys may be doubled.
     """
     doc = F.col(content)
     staged = docs.withColumn("_refs", F.regexp_extract_all(doc, F.lit(_FLAT_REF), F.lit(1)))
     doubled = F.exists("_refs", lambda r: r.rlike(_TWO_NAMES))
     n_keys = (F.length(doc) - F.length(F.replace(doc, F.lit(_REF_KEY), F.lit("")))) / len(_REF_KEY)
-    staged = staged.withColumn("_simple", (F.size("_refs") == n_keys) & ~doubled)
+    staged = staged.withColumn("_simple", (F.size("_refs") == n_keys) & ~doubled & (F.col(plain) if plain else F.lit(True)))
     names = F.transform("_refs", lambda r: F.regexp_extract(r, _ENTITY, 1))
     easy = F.array_distinct(F.filter(names, lambda e: e != ""))
-    hard = _entities_any_depth(F.when(~F.col("_simple"), doc))
+    hard = entities_any_depth(F.when(~F.col("_simple"), doc))
     return staged.withColumn("entities", F.when(F.col("_simple"), easy).otherwise(hard)).drop("_refs", "_simple")
 
 
@@ -82,12 +55,10 @@ def report_facts(parts: DataFrame, archive: bool = False) -> DataFrame:
     """
     # Filtered by path alone: a filter on the parsed text would parse it a second time.
     wanted = parts.where(F.endswith("path", F.lit("visual.json")) | F.endswith("path", F.lit("pages.json")))
-    parsed = with_entities(
-        wanted.select(
-            "report_id", "path", "content", F.try_parse_json("content").alias("doc"),
-            page_of_path(F.col("path"), archive).alias("_page"),
-        )
-    ).withColumn("page_id", F.when(F.col("doc").isNotNull(), F.col("_page")))
+    staged = wanted.select("report_id", "path", "content", page_of_path(F.col("path"), archive).alias("_page"))
+    parsed = with_entities(with_json(staged, "content", "doc", _REPORT_PATHS, plain="_plain"), plain="_plain").withColumn(
+        "page_id", F.when(F.col("doc").isNotNull(), F.col("_page"))
+    )
     on_visual = F.col("page_id").isNotNull()
     listing = F.col("path").rlike(_ARCHIVE_LIST_PATH) if archive else F.endswith("path", F.lit("pages.json"))
     kind = F.coalesce(F.try_variant_get("doc", "$.visual.visualType", "string"), F.lit("unknown"))
@@ -171,16 +142,17 @@ def legacy_entities(layouts: DataFrame) -> DataFrame:
     Each visual's ``config`` is a JSON text of its own. Sections without a name are passed over; a section
     without entities keeps one row with a null entity.
     """
-    sections = layouts.select(
-        "report_id", F.explode(F.try_variant_get(F.try_parse_json("layout"), "$.sections", "array<variant>")).alias("_s")
+    sections = with_json(layouts, "layout", "_v", ["sections.*.name", "sections.*.visualContainers.*.config"]).select(
+        "report_id", F.explode(F.try_variant_get("_v", "$.sections", "array<variant>")).alias("_s")
     ).select(
         "report_id",
         F.try_variant_get("_s", "$.name", "string").alias("page_id"),
         F.try_variant_get("_s", "$.visualContainers", "array<variant>").alias("_vcs"),
     ).where(text.blank_to_null(F.col("page_id")).isNotNull())
-    configs = sections.select(
-        "report_id", "page_id", F.explode_outer("_vcs").alias("_vc")
-    ).withColumn("_cfg", F.try_parse_json(F.try_variant_get("_vc", "$.config", "string")))
+    configs = sections.select("report_id", "page_id", F.explode_outer("_vcs").alias("_vc")).select(
+        "report_id", "page_id", F.try_variant_get("_vc", "$.config", "string").alias("_text")
+    )
+    configs = with_json(configs, "_text", "_cfg", ["singleVisual.prototypeQuery.From"])
     sources = configs.select(
         "report_id", "page_id",
         F.explode_outer(
@@ -238,10 +210,9 @@ def visual_tables(visuals: DataFrame, resolution: DataFrame) -> DataFrame:
 def archive_index(members: DataFrame) -> DataFrame:
     """Model id -> report folder of archive members (archive, ord, path, content); the last file wins."""
     path = text.forward_slashes(F.col("path"))
-    link = F.try_variant_get(
-        F.try_parse_json("content"), "$.datasetReference.byConnection.connectionString", "string"
-    )
-    files = members.where(F.endswith(path, F.lit("definition.pbir"))).select(
+    where = "datasetReference.byConnection.connectionString"
+    link = F.try_variant_get("_v", f"$.{where}", "string")
+    files = with_json(members.where(F.endswith(path, F.lit("definition.pbir"))), "content", "_v", [where]).select(
         "archive", "ord", path.alias("_path"), F.lower(F.regexp_extract(link, fixed.MODEL_ID_PATTERN, 1)).alias("model_id")
     )
     rows = files.where((F.col("model_id") != "") & (F.size(F.split("_path", "/")) >= 3)).select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.functions import text
+from catloom.functions.documents import with_json
 
 
 def decode_payload(payload: Column) -> Column:
@@ -24,20 +25,24 @@ def decoded_parts(parts: DataFrame) -> DataFrame:
 
 
 def part_errors(parts: DataFrame) -> DataFrame:
-    """Parts the other readers pass over: undecodable payloads and JSON files that do not parse."""
+    """Parts the other readers pass over: undecodable payloads and JSON files that are no JSON."""
     decoded = decoded_parts(parts)
-    is_json = F.endswith("path", F.lit(".json")) | F.endswith("path", F.lit(".pbir"))
-    reason = F.when(F.col("content").isNull(), "payload").when(
-        is_json & F.try_parse_json("content").isNull(), "json"
-    )
-    return decoded.select(*[c for c in decoded.columns if c != "content"], reason.alias("reason")).where(
+    is_json = F.endswith("path", F.lit(".json")) | F.endswith("path", F.lit(".pbir")) | F.endswith("path", F.lit(".ipynb"))
+    staged = with_json(decoded.withColumn("_json", F.when(is_json, F.col("content"))), "_json", "_v", [])
+    reason = F.when(F.col("content").isNull(), "payload").when(is_json & F.col("_v").isNull(), "json")
+    return staged.select(*[c for c in decoded.columns if c != "content"], reason.alias("reason")).where(
         F.col("reason").isNotNull()
     )
 
 
 def notebook_code(document: Column) -> Column:
-    """All code cells of a notebook document in order; a cell source is a text or a list of texts."""
-    cells = F.try_variant_get(F.try_parse_json(document), "$.cells", "array<variant>")
+    """The code of a notebook document that Spark parses; ``local_scripts`` reads others too."""
+    return code_of(F.try_parse_json(document))
+
+
+def code_of(document: Column) -> Column:
+    """All code cells of a notebook (a variant) in order; a cell source is a text or a list of texts."""
+    cells = F.try_variant_get(document, "$.cells", "array<variant>")
     code = F.filter(cells, lambda c: F.try_variant_get(c, "$.cell_type", "string") == "code")
     lines = F.transform(
         code,
@@ -53,9 +58,9 @@ def notebook_code(document: Column) -> Column:
 def local_scripts(files: DataFrame) -> DataFrame:
     """Local script files (path, content) as (path, source): notebook documents reduced to their code."""
     is_document = F.endswith("path", F.lit(".ipynb"))
-    return files.select(
-        "path", F.when(is_document, notebook_code(F.col("content"))).otherwise(F.col("content")).alias("source")
-    )
+    staged = files.select("path", "content", F.when(is_document, F.col("content")).alias("_json"))
+    staged = with_json(staged, "_json", "_v", ["cells.*.cell_type", "cells.*.source"])
+    return staged.select("path", F.when(is_document, code_of(F.col("_v"))).otherwise(F.col("content")).alias("source"))
 
 
 def stored_measure_deps(stored: DataFrame, known: DataFrame) -> DataFrame:
@@ -70,12 +75,12 @@ def stored_measure_deps(stored: DataFrame, known: DataFrame) -> DataFrame:
 
 def activities_of(definitions: DataFrame) -> DataFrame:
     """Activity rows of orchestration documents (columns pipeline_ord, pipeline_id, definition)."""
-    listed = definitions.select(
+    kept = ["name", "typeProperties.notebookId", "typeProperties.artifactId", "dependsOn.*.activity"]
+    documents = with_json(definitions, "definition", "_v", [f"properties.activities.*.{k}" for k in kept])
+    listed = documents.select(
         "pipeline_ord",
         "pipeline_id",
-        F.posexplode(
-            F.try_variant_get(F.try_parse_json("definition"), "$.properties.activities", "array<variant>")
-        ).alias("ord", "_a"),
+        F.posexplode(F.try_variant_get("_v", "$.properties.activities", "array<variant>")).alias("ord", "_a"),
     )
 
     def field(path: str) -> Column:

@@ -122,6 +122,42 @@ def _measure_files(s, d) -> DataFrame:
     )
 
 
+def _odd(text: F.Column, key: F.Column, doubled: str) -> F.Column:
+    """Of every eight documents two hold NaN, two a doubled key whose first value is wrong, and one is cut short."""
+    inner = F.substr(text, F.lit(2))
+    return (
+        F.when(key % 8 == 7, F.substr(text, F.lit(1), F.length(text) - 1))
+        .when(key % 4 == 1, F.concat(F.lit('{"odd":[NaN,-Infinity],'), inner))
+        .when(key % 4 == 2, F.concat(F.lit("{" + doubled + ","), inner))
+        .otherwise(text)
+    )
+
+
+def _odd_items(s, d) -> DataFrame:
+    return _raw_items(s, d).withColumn("raw", _odd(F.col("raw"), F.col("ord"), '"id":"wrong"'))
+
+
+def _odd_pipelines(s, d) -> DataFrame:
+    made = _pipelines(s, d)
+    return made.withColumn("definition", _odd(F.col("definition"), F.col("pipeline_ord"), '"properties":{"activities":[{"name":"wrong"}]}'))
+
+
+def _odd_notebooks(s, d) -> DataFrame:
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    return _notebooks(s, d).withColumn("content", _odd(F.col("content"), number, '"cells":[{"cell_type":"code","source":"wrong"}]'))
+
+
+def _odd_models(s, d) -> DataFrame:
+    number = F.regexp_extract("dataset_id", r"(\d+)", 1).cast("long")
+    return _models(s, d).withColumn("model", _odd(F.col("model"), number, '"odd":[{"name":"wrong"}],"odd":null'))
+
+
+def _odd_visuals(s, d) -> DataFrame:
+    number = F.regexp_extract("path", r"/v\d+-(\d+)-", 1).cast("long")
+    wrong = '"visual":{"visualType":"wrong","query":{"SourceRef":{"Entity":"wrong"}}}'
+    return fixture(s, d, "fx_archive_parts").withColumn("content", _odd(F.col("content"), number, wrong))
+
+
 def _known(s, d) -> DataFrame:
     return items.known_tables(fixture(s, d, "fx_tables"))
 
@@ -136,6 +172,16 @@ QUERIES = {
     "pipeline_activities": lambda s, d: definitions.activities_of(_pipelines(s, d)).withColumn("depends_on", F.array_join("depends_on", ",")),
     "notebook_sources": lambda s, d: definitions.local_scripts(_notebooks(s, d)),
     "decoded_parts": lambda s, d: definitions.decoded_parts(_parts(s, d)),
+    "odd_items": lambda s, d: items.normalize_items(_odd_items(s, d), "ws", "fx"),
+    "odd_pipelines": lambda s, d: definitions.activities_of(_odd_pipelines(s, d)).withColumn("depends_on", F.array_join("depends_on", ",")),
+    "odd_notebooks": lambda s, d: definitions.local_scripts(_odd_notebooks(s, d)),
+    "odd_models": lambda s, d: measures.measures_of_model(_odd_models(s, d)),
+    "odd_visuals": lambda s, d: reports.report_facts(_odd_visuals(s, d), archive=True).select(
+        "report_id", "path", "page_id", "visual_type", "title", F.array_join(F.array_sort("entities"), ",").alias("entities")
+    ),
+    "odd_part_errors": lambda s, d: definitions.part_errors(
+        _odd_items(s, d).select("ord", F.concat(F.lit("x/"), F.col("ord").cast("string"), F.lit(".json")).alias("path"), F.base64("raw").alias("payload"))
+    ),
     "model_measures": lambda s, d: measures.measures_of_model(_models(s, d)),
     "table_part_measures": lambda s, d: measures.measures_of_table_parts(_measure_parts(s, d), _known(s, d)).select("dataset_id", "measure_group", "expr"),
     "measure_file_measures": lambda s, d: measures.measures_of_measure_files(_measure_files(s, d), _known(s, d)).select("dataset_id", "measure_group", "expr"),
@@ -185,3 +231,20 @@ WHERE l_partkey IN (SELECT p_partkey - p_partkey % 2 FROM part)""",
 SELECT concat('r-', o_custkey) AS report_id, concat('p-', o_orderkey) AS page_id, o_orderkey % 7 AS page_order,
   CASE WHEN o_orderstatus = 'P' THEN 'hidden' ELSE 'visible' END AS visibility FROM orders""",
 }
+
+ORACLES |= {
+    "odd_items": ORACLES["normalized_items"] + " AND c_custkey % 8 <> 7",
+    "odd_pipelines": ORACLES["pipeline_activities"].replace("FROM lineitem GROUP BY", "FROM lineitem WHERE l_orderkey % 8 <> 7 GROUP BY"),
+    "odd_notebooks": """
+SELECT concat('n/', doc_id, '.ipynb') AS path, CASE WHEN doc_id % 8 <> 7 THEN concat(text, chr(10), 'doc = ', doc_id) END AS source
+FROM documents WHERE text IS NOT NULL""",
+    "odd_models": ORACLES["model_measures"] + " WHERE l_orderkey % 8 <> 7",
+    "odd_visuals": with_fixtures("""
+SELECT report_id, path, CASE WHEN good THEN regexp_extract(path, 'pages/([^/]+)/visuals', 1) END AS page_id,
+  CASE WHEN good THEN json_extract_string(content, '$.visual.visualType') END AS visual_type,
+  CASE WHEN good THEN nullif(trim(coalesce(json_extract_string(content, '$.visual.visualContainerObjects.title[0].properties.text.expr.Literal.Value'), ''), chr(39)), '') END AS title,
+  CASE WHEN good THEN array_to_string(list_sort(list_distinct(regexp_extract_all(content, '"Entity":"([^"]*)"', 1))), ',') END AS entities
+FROM (SELECT *, CAST(regexp_extract(path, '/v[0-9]+-([0-9]+)-', 1) AS BIGINT) % 8 <> 7 AS good FROM fx_archive_parts)"""),
+    "odd_part_errors": """
+SELECT c_custkey AS ord, concat('x/', c_custkey, '.json') AS path, 'json' AS reason FROM customer WHERE c_custkey % 50 = 0 OR c_custkey % 8 = 7""",
+}
