@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from catloom import schemas
+from catloom.sources import publish
 
 GRAPH_TABLES = {
     "objects": schemas.OBJECTS,
@@ -75,24 +75,47 @@ def snapshot_path(root: str, workspace_name: str, layers: list[str] | None = Non
 
 
 def snapshot(
-    spark: SparkSession, path: str, compute: Callable[[], dict[str, DataFrame]], refresh: bool = False
+    spark: SparkSession, path: str, compute: Callable[[], dict[str, DataFrame]], refresh: bool = False, fingerprint: str | None = None
 ) -> dict[str, DataFrame]:
-    """Frames stored under ``path``, computed and written first where they are missing."""
-    marker = f"{path}/_names"
-    if not refresh:
+    """Frames stored under ``path``; computed and stored first where there are none or their inputs have changed.
+
+    ``fingerprint`` tells the inputs (see ``publish.row_fingerprint`` and ``file_fingerprint``); without one any stored snapshot will do. A
+    refresh writes to a new folder and the manifest is switched last, so a failed refresh leaves the old snapshot in use.
+    Where another run published meanwhile, its snapshot is taken if the fingerprint agrees.
+    """
+    tables = publish.TableSet(spark, path)
+    while True:
+        found = tables.manifest()
+        if found is not None and not refresh and fingerprint in (None, found.fingerprint):
+            return tables.read(found)
         try:
-            names = [r.name for r in spark.read.parquet(marker).collect()]
-            return {n: spark.read.parquet(f"{path}/{n}") for n in names}
-        except AnalysisException:
-            pass
-    frames = compute()
-    for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    # Written last: a snapshot without its list of names is not used.
-    spark.createDataFrame([(n,) for n in frames], T.StructType([T.StructField("name", T.StringType())])).coalesce(
-        1
-    ).write.mode("overwrite").parquet(marker)
-    return {n: spark.read.parquet(f"{path}/{n}") for n in frames}
+            return tables.read(tables.publish(compute(), found, fingerprint))
+        except publish.Conflict:
+            refresh = False
+
+
+def graph_tables(spark: SparkSession, root: str) -> publish.TableSet:
+    """The graph as versioned folders: nodes and edges change together, and an edge-only refresh keeps the nodes' folder."""
+    return publish.TableSet(spark, root, PARTITION_COLUMNS)
+
+
+def provision_graph(spark: SparkSession, root: str) -> list[str]:
+    """Publish empty tables where there are none; the names that were created."""
+    tables = graph_tables(spark, root)
+    found = tables.manifest()
+    missing = {n: spark.createDataFrame([], s) for n, s in GRAPH_TABLES.items() if found is None or n not in found.tables}
+    if missing:
+        tables.publish(missing, found)
+    return list(missing)
+
+
+def publish_graph(
+    spark: SparkSession, root: str, relationships: DataFrame, objects: DataFrame | None = None, base: publish.Manifest | None = None
+) -> publish.Manifest:
+    """Full refresh, or of the edges alone without ``objects``. ``base``: the version read before, by default the newest."""
+    tables = graph_tables(spark, root)
+    new = {"relationships": relationships} if objects is None else {"objects": objects, "relationships": relationships}
+    return tables.publish(new, base or tables.manifest())
 
 
 def write_documents(views: dict[str, DataFrame], folder: str, fmt: str = "csv") -> None:

@@ -3,11 +3,12 @@ import json
 import zipfile
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from catloom import schemas
 from catloom.operators import docs, items, profile
-from catloom.sources import catalog, files, store
+from catloom.sources import catalog, files, publish, store
 from catloom.sources.definitions import stored_measure_deps
 
 
@@ -168,3 +169,131 @@ def test_views_sort_and_clean(spark):
     ).withColumns({"description": F.lit(""), "row_count": F.lit(1), "last_updated": F.lit(""), "source_artifact": F.lit("")})
     rows = docs.tables_view(tables).collect()
     assert [r.table_name for r in rows] == ["c", "a", "b", "d", "e"] and rows[0].lh_name == "k"
+
+
+def graph_frames(spark, ids=("a", "b")):
+    node = {f.name: None for f in schemas.OBJECTS.fields}
+    edge = {f.name: None for f in schemas.RELATIONSHIPS.fields}
+    nodes = [tuple({**node, "objects_id": i, "objects_type": "Page" if i == "a" else "Table"}.values()) for i in ids]
+    links = [tuple({**edge, "relationships_id": f"x{i}", "relationships_type": "uses"}.values()) for i in ids]
+    return spark.createDataFrame(nodes, schemas.OBJECTS), spark.createDataFrame(links, schemas.RELATIONSHIPS)
+
+
+def seen(spark, root):
+    got = store.graph_tables(spark, root).read()
+    return sorted(r.objects_id for r in got["objects"].collect()), sorted(r.relationships_id for r in got["relationships"].collect())
+
+
+def test_published_graph_changes_as_a_whole(spark, tmp_path):
+    root = str(tmp_path / "graph")
+    assert set(store.provision_graph(spark, root)) == {"objects", "relationships", "measure_deps"} and store.provision_graph(spark, root) == []
+    assert seen(spark, root) == ([], [])
+    nodes, links = graph_frames(spark)
+    first = store.publish_graph(spark, root, links, nodes)
+    assert first.version == 2 and seen(spark, root) == (["a", "b"], ["xa", "xb"])
+    old = store.graph_tables(spark, root).read()["objects"]
+    # The second table cannot be written: neither changes, and nothing of the attempt stays.
+    broken = links.withColumn("relationships_id", F.raise_error(F.lit("no")).cast("string"))
+    folders = publish.Files(spark, root).names(f"{root}/data")
+    with pytest.raises(Exception, match="no"):
+        store.publish_graph(spark, root, broken, nodes.limit(1))
+    assert seen(spark, root) == (["a", "b"], ["xa", "xb"]) and publish.Files(spark, root).names(f"{root}/data") == folders
+    # Edges alone: the nodes' folder stays.
+    third = store.publish_graph(spark, root, links.limit(0))
+    assert third.tables["objects"] == first.tables["objects"] and seen(spark, root) == (["a", "b"], [])
+    # A writer that read version 2 comes too late.
+    with pytest.raises(publish.Conflict):
+        store.publish_graph(spark, root, links, nodes, base=first)
+    assert seen(spark, root) == (["a", "b"], []) and store.graph_tables(spark, root).versions() == [1, 2, 3]
+    store.publish_graph(spark, root, links, nodes.limit(0))
+    assert old.count() == 2  # readers of the old version go on
+    assert store.graph_tables(spark, root).read()["objects"].schema == schemas.OBJECTS
+    gone = store.graph_tables(spark, root).vacuum(keep=1)
+    assert len(gone) == 2 and seen(spark, root) == ([], ["xa", "xb"]) and store.graph_tables(spark, root).versions() == [4]
+    assert store.graph_tables(spark, root).read()["measure_deps"].count() == 0
+
+
+def test_snapshot_follows_its_inputs(spark, tmp_path):
+    root, data = str(tmp_path / "snap"), str(tmp_path / "in")
+    spark.range(3).write.parquet(data)
+    calls = []
+
+    def run(fail=False, refresh=False, mark=publish.file_fingerprint):
+        def compute():
+            calls.append(1)
+            rows = spark.read.parquet(data)
+            return {"n": rows.selectExpr("id + raise_error('bad') AS id") if fail else rows, "m": rows.groupBy().count()}
+
+        key = mark(spark, data) if mark is publish.file_fingerprint else mark(spark.read.parquet(data))
+        return store.snapshot(spark, root, compute, refresh, fingerprint=key)
+
+    assert run()["n"].count() == 3 and run()["m"].first()[0] == 3 and len(calls) == 1
+    spark.range(5).write.mode("append").parquet(data)
+    with pytest.raises(Exception, match="bad"):
+        run(fail=True)
+    assert store.snapshot(spark, root, dict)["n"].count() == 3  # the failed refresh left the old one
+    assert run()["n"].count() == 8 and run()["n"].count() == 8 and len(calls) == 3
+    assert run(refresh=True)["n"].count() == 8 and len(calls) == 4
+
+
+def test_row_fingerprint_sees_rows_not_their_order(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k int, v string")
+    mark = publish.row_fingerprint(df)
+    assert publish.row_fingerprint(df.orderBy(F.desc("k")).repartition(3)) == mark
+    for other in (df.distinct(), df.limit(0), df.fillna("x"), df.withColumnRenamed("v", "w"), df.withColumn("k", F.col("k").cast("long"))):
+        assert publish.row_fingerprint(other) != mark
+
+
+def test_a_damaged_table_does_not_stop_the_profile(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS damaged")
+    for name in ("good", "bad", "more"):
+        spark.range(4).selectExpr("id", "'x' AS v").coalesce(1).write.mode("overwrite").option("path", str(tmp_path / name)).saveAsTable(f"damaged.{name}")
+    part = next((tmp_path / "bad").glob("*.parquet"))
+    body = bytearray(part.read_bytes())
+    body[4 : len(body) // 2] = b"\0" * (len(body) // 2 - 4)
+    part.write_bytes(bytes(body))
+    for crc in (tmp_path / "bad").glob(".*.crc"):
+        crc.unlink()
+    found, problems = catalog.profile_database(spark, "damaged", "lh", "Lake")
+    assert [name for name, _ in problems] == ["bad"] and problems[0][1]
+    rows = {(r.table_name, r.col_name): r for r in found.collect()}
+    assert {k: r.row_count for k, r in rows.items()} == {(t, c): None if t == "bad" else 4 for t in ("good", "bad", "more") for c in ("id", "v")}
+    assert rows["bad", "id"].datatype == "bigint" and rows["bad", "id"].sample_value is None
+    assert {r.table_name: r.row_count for r in profile.to_tables(found).collect()} == {"good": 4, "bad": None, "more": 4}
+    assert profile.profile_apart({}) == (None, [])
+
+
+def test_profile_reads_only_new_files(spark, tmp_path):
+    data, states = str(tmp_path / "t"), publish.TableSet(spark, str(tmp_path / "states"))
+
+    def add(lo, hi):
+        df = spark.range(lo, hi).selectExpr("id", "IF(id % 3 = 0, NULL, concat('v', id)) AS v", "map('k', id) AS m", "CAST(-0.0 AS DOUBLE) AS d", "concat('2024-', id) AS updated_at")
+        df.coalesce(2).write.mode("append").parquet(data)
+
+    def same():
+        got = catalog.profile_files(spark, data, states, "t")
+        want = profile.profile_table(spark.read.parquet(data))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+    add(10, 40)
+    same()
+    first = {r.file_path: r.rows for r in states.read()["t"].collect()}
+    add(1, 7)
+    old = next(iter((tmp_path / "t").glob("*.parquet")))
+    seen = []
+    plain = catalog.file_states
+    catalog.file_states = lambda df: seen.extend(df.inputFiles()) or plain(df)
+    try:
+        same()
+        assert seen and len(seen) == len(list((tmp_path / "t").glob("*.parquet"))) - len(first)
+        seen.clear()
+        same()
+        assert not seen  # nothing new, nothing read
+        old.unlink()
+        same()
+        assert not seen
+        spark.range(3).write.mode("overwrite").parquet(data)  # other columns: all files anew
+        same()
+        assert seen
+    finally:
+        catalog.file_states = plain
