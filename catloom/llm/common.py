@@ -34,17 +34,31 @@ class Kept:
     several times is computed once. ``drop`` removes a table that nothing reads any more.
     """
 
+    roots: list[str] = []  # of all folders made in this process, in order
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.roots.append(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(self.spark, f"{self.root}/{name}")
+
+    @classmethod
+    def drop_since(cls, spark: SparkSession, mark: int) -> None:
+        """Delete the folders made after the first ``mark`` ones; nothing may read them any more."""
+        for root in cls.roots[mark:]:
+            delete_folder(spark, root)
+        del cls.roots[mark:]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

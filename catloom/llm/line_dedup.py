@@ -55,7 +55,7 @@ def repeated_lines(docs: DataFrame, *, run: int = RUN, line_chars: int = LINE_CH
         length += step
         ranks = kept.table(_ranked(pairs, ["one", "two"], kept).select("doc_id", "th", "i", "rank"), f"rank-{length}")
     gone.append(ranks.where(later).select("doc_id", "th", F.col("i").alias("lo"), (F.col("i") + run - 1).alias("hi")))
-    numbers = gone[0].unionByName(gone[1]).groupBy("doc_id", "th").agg(F.collect_list(F.sequence("lo", "hi")).alias("parts"))
+    numbers = gone[0].unionByName(gone[1]).groupBy("doc_id", "th").agg(F.collect_set(F.sequence("lo", "hi")).alias("parts"))
     return numbers.select("doc_id", "th", F.array_sort(F.array_distinct(F.flatten("parts"))).alias("gone"))
 
 
