@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catloom.llm import decontaminate, language_id, line_dedup, minhash, packing
+from catloom.llm.common import Kept, delete_folder
 from catloom.session import checkpoint_folder
 
 
@@ -17,17 +18,24 @@ BANDS, ROWS = 25, 4  # a pair at 80 percent meets in no band twice in about 10**
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter, each with a language: where ``lang`` is null, the one the network tells. Others (null too) go."""
+    """Documents with a letter whose language the network tells with a probability of 0.4 or more; it fills null ``lang``. Others (null too) go.
+
+    Of the 10,000 documents at sf0.1 the rule on the network takes two, a line of an address and digits and one of eleven letters.
+    """
     return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are later copies; ``n_chars`` follows the text."""
+    """The documents without the lines that are later copies; ``n_chars`` follows the text.
+
+    A document that loses lines and has no visible character left goes, since all of it stands elsewhere.
+    """
     cleaned = line_dedup.delete_repeats(docs)
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         new["n_chars"] = F.when(F.size("gone") > 0, size).otherwise(F.col("doc.n_chars"))
+    cleaned = cleaned.where((F.size("gone") == 0) | F.col("text").rlike("\\S"))
     return cleaned.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -62,10 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and read again."""
+    """Apply the stages to documents; each result is written to the shared folder and read again.
+
+    Once a stage's result is written, the tables it kept and its predecessor's result are deleted.
+    """
     root = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
+        mark = len(Kept.roots)
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        Kept.drop_since(spark, mark)
+        if before:
+            delete_folder(spark, f"{root}/{before}")
+        docs, before = spark.read.parquet(f"{root}/{name}"), name
     return docs
