@@ -248,9 +248,10 @@ def _sorted_suffixes(words: Words, group: np.ndarray, at: np.ndarray, upto: np.n
 
 
 def _prefix_counts(words: Words, guide: Guide, length: int) -> pa.RecordBatch:
-    """Counts of the prefixes of ``length`` words whose first ``length - 1`` are heavy."""
+    """Counts of the prefixes of ``length`` words whose first and whose last ``length - 1`` are heavy; no other can be heavy."""
     reach = _reach(words, length)
-    at = np.flatnonzero((reach >= length) & (guide.lead(words, reach)[0] >= length - 1))
+    heavy = guide.lead(words, reach)[0] >= length - 1
+    at = np.flatnonzero((reach >= length) & heavy & np.append(heavy[1:], False))
     heads, count = _sorted_suffixes(words, words.lang[at], at, at + length, length)
     return _counts([(words.langs[words.lang[i]], words.text(i, i + length).decode(), int(c)) for i, c in zip(at[heads], count)])
 

@@ -43,20 +43,26 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["a", "b"])
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node that points somewhere points to one node only, and that one points nowhere."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("hit")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("hit"))
+    )
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("hit").alias("hit")).where("out > 1 or (out = 1 and hit = 1)").isEmpty()
+
+
 def components(links: DataFrame, kept: Kept, name: str) -> DataFrame:
     """node, component (smallest node reachable) of every node of the links (a, b).
 
-    Each round first makes every node point to the smallest neighbour of its neighbours, then flattens; the number of
-    rounds grows with the logarithm of the longest path. Links of one partition are reduced by union-find before that.
+    Links of one partition are reduced by union-find. Then each round makes every node point to the smallest neighbour of its neighbours
+    and flattens, until all links are stars; linked nodes stay linked throughout, so a star is a component. The
+    number of rounds grows with the logarithm of the longest path.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().mapInArrow(_forest, "a long, b long")
     edges = kept.table(edges.distinct(), f"{name}-0")
-    mark, turn = None, 0
-    while True:
-        found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if tuple(found) == mark:
-            break
-        mark, turn = tuple(found), turn + 1
+    turn = 0
+    while not _are_stars(edges):
+        turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = kept.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least-{turn}")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

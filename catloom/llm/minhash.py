@@ -214,12 +214,17 @@ def grouped_rows(source: DataFrame, *, percent: int = PERCENT, bands: int = BAND
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
     mixed = kept.table(main.where("groups > 1").select("bucket", "main"), "mixed")
-    inside = placed.join(mixed, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
-    rest = _candidates(kept.table(inside, "inside"), sets, percent, kept).join(pairs, ["a", "b"], "left_anti")
-    more = kept.table(_linked(rest, sets, percent), "more")
-    every = links.unionByName(more)
-    groups = components(every, kept, "second")
     named = classes.select("node", "d1", "d2", "first_doc").join(groups, "node", "left").select("d1", "d2", "first_doc", F.coalesce("component", "node").alias("component"))
+    if not mixed.isEmpty():
+        inside = placed.join(mixed, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
+        inside = kept.table(inside, "inside")
+        rest = _candidates(inside, sets, percent, kept).join(pairs, ["a", "b"], "left_anti")
+        more = _linked(rest, sets, percent)
+        # The components are joined as wholes: a link between members is a link between their components.
+        home = inside.select("node", "component")
+        more = more.join(home.toDF("a", "_ca"), "a").join(home.toDF("b", "_cb"), "b").select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
+        whole = components(kept.table(more.distinct(), "more"), kept, "second").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        named = named.join(whole, "component", "left").select("d1", "d2", "first_doc", F.coalesce("whole", "component").alias("component"))
     smallest = kept.table(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "smallest")
     by_set = kept.table(named.join(smallest, "component").select("d1", "d2", F.col("component_id").alias("least")), "named")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

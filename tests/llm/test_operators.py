@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from catloom.llm import (
     decontaminate, language_id, line_dedup, minhash, packing, phrase_dedup, repeats, suffix_dedup, token_files, topk, toxicity,
 )
-from catloom.llm.common import split_row
+from catloom.llm.common import Kept, split_row
+from catloom.llm.graph import UnionFind, components
 from catloom.llm.tokenizing import encoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, th string, runs int"
@@ -417,3 +418,18 @@ def test_line_dedup(spark, docs, empty):
 def test_fold(spark):
     ids = spark.range(50).select("id", split_row(F.col("id")).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 5 for r in ids)
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    rng = random.Random(17)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 240)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)]
+    pairs += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)] + [(7, 7), (100, 101)]
+    union = UnionFind()
+    for a, b in pairs:
+        union.union(a, b)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    rng.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    found = components(links, Kept(spark, "components"), "t").collect()
+    assert {r.node: r.component for r in found} == {x: union.find(x) for x in linked} and len(found) == len(linked)
+    assert components(links.limit(0), Kept(spark, "components"), "t").count() == 0
