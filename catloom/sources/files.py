@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catloom.functions import text
+from catloom.sources.publish import Files
 
 # Output batches of the archive reader are closed at this many bytes of content.
 BATCH_BYTES = 32 * 1024 * 1024
@@ -20,15 +21,48 @@ _MEMBER_SCHEMA = "archive string, ord bigint, path string, content binary, probl
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Non-empty files: path, size, modified. File contents are not read."""
+    """Non-empty files, also those whose names begin with ``_`` or ``.``: path, size, modified. File contents are not read.
+
+    Spark lists the plain names. It passes over the others, so the driver asks the file system for them by pattern.
+    """
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return (
+    plain = (
         reader.load(folder)
         .where(F.col("length") > 0)
         .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     )
+    hidden = _hidden_files(spark, folder.rstrip("/"), recursive)
+    if not hidden:
+        return plain
+    rows = spark.createDataFrame(hidden, "path string, size bigint, ms bigint")
+    return plain.unionByName(rows.select("path", "size", F.timestamp_millis("ms").alias("modified")))
+
+
+def _hidden_files(spark: SparkSession, folder: str, recursive: bool) -> list[tuple[str, int, int]]:
+    """(path, size, time) of non-empty files with a hidden name or below a folder with one."""
+    fs, path = Files(spark, folder).fs, spark._jvm.org.apache.hadoop.fs.Path
+    found: dict[str, tuple[str, int, int]] = {}
+    escaped = re.sub(r"([\\*?\[\]{}])", r"\\\1", folder)
+
+    def add(status) -> None:
+        name = status.getPath().toString()
+        if status.isFile() and status.getLen() > 0:
+            found[name] = (name, status.getLen(), status.getModificationTime())
+
+    level = escaped
+    while True:
+        for status in fs.globStatus(path(f"{level}/[_.]*")) or []:
+            if status.isFile():
+                add(status)
+            elif recursive:
+                below = fs.listFiles(status.getPath(), True)
+                while below.hasNext():
+                    add(below.next())
+        level = f"{level}/*"
+        if not recursive or not fs.globStatus(path(f"{level}/*")):
+            return sorted(found.values())
 
 
 def container_files(spark: SparkSession, folder: str, lh_id: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catloom.operators import graph, items, measures, reports
+from catloom.operators import code_refs, graph, items, measures, reports
 from catloom.sources import definitions
 from checks.compose import with_fixtures
 from checks.fixtures import fixture, table
@@ -162,7 +162,35 @@ def _known(s, d) -> DataFrame:
     return items.known_tables(fixture(s, d, "fx_tables"))
 
 
+def _script_items(s, d) -> DataFrame:
+    return table(s, d, "orders").select(_numbered("nb-", "o_orderkey").alias("id"), _numbered("Script ", "o_orderkey").alias("display_name"))
+
+
+def _script_parts(s, d) -> DataFrame:
+    """A definition for every third script: a note, the code, and an older form of it."""
+    forms = F.array(*[
+        F.struct(F.lit(o).cast("long").alias("ord"), F.lit(path).alias("path"), F.base64(F.encode(F.concat(F.lit(head), F.col("o_orderkey").cast("string")), "utf-8")).alias("payload"))
+        for o, path, head in ((0, "note.md", "note "), (1, "notebook-content.py", "code "), (2, "old.ipynb", "old "))
+    ])
+    return table(s, d, "orders").where("o_orderkey % 3 = 0").select(_numbered("nb-", "o_orderkey").alias("item_id"), F.inline(forms))
+
+
+def _script_files(s, d) -> DataFrame:
+    """Local files: of the exact name (a document beside a script), or of the name in another case."""
+    rest = F.col("o_orderkey") % 4
+    name = F.when(rest == 2, "sCRIPT ").otherwise("Script ")
+    files = F.array(
+        F.when(rest < 3, F.struct(F.concat(F.lit("dir/"), name, F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), _numbered("py ", "o_orderkey").alias("source"))),
+        F.when(rest == 1, F.struct(F.concat(F.lit("dir/"), name, F.col("o_orderkey").cast("string"), F.lit(".ipynb")).alias("path"), _numbered("book ", "o_orderkey").alias("source"))),
+    )
+    return table(s, d, "orders").select(F.explode(files).alias("f")).where("f is not null").select("f.*")
+
+
 QUERIES = {
+    "script_sources": lambda s, d: code_refs.pick_script_sources(_script_items(s, d), _script_parts(s, d), _script_files(s, d)),
+    "found_workspace": lambda s, d: items.find_workspace(
+        table(s, d, "customer").select(F.col("c_custkey").alias("ord"), _numbered("w-", "c_custkey").alias("id"), F.col("c_mktsegment").alias("display_name")), "BUILDING"
+    ),
     "normalized_items": lambda s, d: _items(s, d),
     "scoped_items": lambda s, d: items.in_scope(_items(s, d)).select("ord", "id", "type"),
     "container_details": lambda s, d: _containers(s, d).select(
@@ -199,6 +227,12 @@ _LAYER = "CASE c_custkey % 3 WHEN 0 THEN 'Bronze' WHEN 1 THEN 'Gold' ELSE 'Unkno
 _DOCUMENT = "c_custkey % 50 <> 0"
 
 ORACLES = {
+    "script_sources": """
+SELECT concat('nb-', o_orderkey) AS id, concat('Script ', o_orderkey) AS display_name,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'getDefinition' WHEN o_orderkey % 4 < 3 THEN 'local_file' ELSE 'none' END AS source_method,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('code ', o_orderkey) WHEN o_orderkey % 4 = 1 THEN concat('book ', o_orderkey) WHEN o_orderkey % 4 < 3 THEN concat('py ', o_orderkey) END AS source
+FROM orders""",
+    "found_workspace": "SELECT c_custkey AS ord, concat('w-', c_custkey) AS id, c_mktsegment AS display_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1",
     "normalized_items": f"""
 SELECT c_custkey AS ord, concat('i-', c_custkey) AS id, concat(CASE c_custkey % 3 WHEN 0 THEN 'bronze_lh_' WHEN 1 THEN 'GOLD ' ELSE 'plain_' END, c_custkey) AS display_name,
   {_TYPE} AS type, 'ws' AS workspace_id, 'fx' AS workspace_name, c_mktsegment AS description,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from catloom.functions import text
 from catloom.operators import activities as A
 from catloom.operators import code_refs, docs, edges, items
-from catloom.session import cut_lineage
+from catloom.session import checkpoint_folder, cut_lineage
+from catloom.sources import store
 from checks.compose import STEPS, with_fixtures
 from checks.fixtures import fixture, table
 
@@ -93,6 +95,13 @@ def full_tables(s, d) -> DataFrame:
     )
 
 
+def _reread(s, view: DataFrame) -> DataFrame:
+    """A document view as its written file reads: texts, empty ones as nothing."""
+    folder = f"{checkpoint_folder(s)}/documents-{uuid.uuid4().hex}"
+    store.write_documents({"tables": view}, folder)
+    return s.read.csv(f"{folder}/tables", header=True, multiLine=True, escape='"', schema=", ".join(f"{c} string" for c in view.columns))
+
+
 def _edge_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "output_lh", "output_table", "notebook_id", "notebook_name", "input_set",
@@ -154,6 +163,7 @@ QUERIES = {
         )
     ),
     "doc_tables": lambda s, d: docs.tables_view(edges.fill_source_artifact(full_tables(s, d), *layers(s, d))),
+    "documents_reread": lambda s, d: _reread(s, docs.tables_view(edges.fill_source_artifact(full_tables(s, d), *layers(s, d)))),
     "doc_sources": lambda s, d: docs.sources_view(
         edges.data_sources(fixture(s, d, "fx_containers"), lineage_files(s, d))
     ),
@@ -410,6 +420,8 @@ FROM st_expanded GROUP BY ALL"""),
 SELECT display_name, type, 'fx' AS workspace_name, description, '' AS last_modified, '' AS created_by FROM fx_items"""),
     "doc_tables": with_fixtures("""
 SELECT table_name, lh_name, layer, '' AS description, row_count, '' AS last_updated, source_artifact FROM st_full_tables"""),
+    "documents_reread": with_fixtures("""
+SELECT table_name, lh_name, layer, NULL AS description, CAST(row_count AS VARCHAR) AS row_count, NULL AS last_updated, nullif(source_artifact, '') AS source_artifact FROM st_full_tables"""),
     "doc_sources": with_fixtures("SELECT * FROM st_sources_rows"),
     "doc_lineage": with_fixtures(f"""
 SELECT coalesce(g.i, s.i) AS row_no, g.output_lh AS gold_lh, g.output_table AS gold_table, g.notebook_name AS gold_writer, g.inputs AS gold_inputs,

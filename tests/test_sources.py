@@ -297,3 +297,26 @@ def test_profile_reads_only_new_files(spark, tmp_path):
         assert seen
     finally:
         catalog.file_states = plain
+
+
+def test_hidden_names_are_listed(spark, tmp_path):
+    top = tmp_path / "odd [1]" / "Files"
+    (top / "_dir" / "deep").mkdir(parents=True)
+    (top / "sub" / ".more").mkdir(parents=True)
+    for name in ("a.csv", "_m.csv", ".h.csv", "_dir/x.csv", "_dir/deep/_y.csv", "sub/b.csv", "sub/_c.csv", "sub/.more/d.csv"):
+        (top / name).write_text("abc")
+    (top / "_none.csv").write_text("")
+    root = str(top)
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    for name in ("a.csv", "_m.csv", ".h.csv"):
+        (plain / name).write_text("abc")
+    assert {r.path.split("/")[-1] for r in files.list_files(spark, str(plain)).collect()} == {"a.csv", "_m.csv", ".h.csv"}
+    (plain / "z" / "_q").mkdir(parents=True)
+    (plain / "z" / "_q" / "w.csv").write_text("abc")
+    (plain / "z" / ".k.csv").write_text("abc")
+    deep = {r.path.split("/plain/")[1] for r in files.list_files(spark, str(plain), recursive=True).collect()}
+    assert deep == {"a.csv", "_m.csv", ".h.csv", "z/_q/w.csv", "z/.k.csv"}
+    assert {x[0].split("/Files/")[1] for x in files._hidden_files(spark, root, True)} == {
+        "_m.csv", ".h.csv", "_dir/x.csv", "_dir/deep/_y.csv", "sub/_c.csv", "sub/.more/d.csv"
+    }
