@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -93,8 +94,20 @@ def _tables(profile: DataFrame, containers: DataFrame) -> DataFrame:
     )
 
 
-def collect_workspace(inputs: WorkspaceInputs, layers: str | None = None, mode: str = "compat") -> Collection:
-    """Run all steps. ``layers`` limits table collection to containers of the given layers."""
+Stage = Callable[[str, Callable[[], dict[str, DataFrame]]], dict[str, DataFrame]]
+
+
+def _written(name: str, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    return {part: cut_lineage(df) for part, df in make().items()}
+
+
+def collect_workspace(
+    inputs: WorkspaceInputs, layers: str | None = None, mode: str = "compat", stage: Stage = _written
+) -> Collection:
+    """Run all steps. ``layers`` limits table collection to containers of the given layers.
+
+    ``stage`` writes the frames of each step that later ones read several times; a journal's (``runs.Journal``) lets a run resume.
+    """
     found = items.in_scope(items.normalize_items(inputs.raw_items, inputs.workspace_id, inputs.workspace_name))
     artifacts = items.documented(found)
     containers = items.normalize_containers(artifacts, inputs.details)
@@ -112,16 +125,18 @@ def collect_workspace(inputs: WorkspaceInputs, layers: str | None = None, mode:
         F.col("id").alias("pipeline_id"), F.col("ord").alias("pipeline_ord")
     )
     acts = activities_of(inputs.pipelines.join(orchestrations, "pipeline_id"))
-    ordered = cut_lineage(A.run_order(acts))
     # Each of these is read many times below; source texts are scanned once.
-    tables, artifacts, containers = cut_lineage(tables), cut_lineage(artifacts), cut_lineage(containers)
-    sources = cut_lineage(
-        code_refs.source_references(artifacts, inputs.parts, local_scripts(inputs.local_files), mode)
-    )
-    transitions = A.layer_transitions(ordered, tables, artifacts)
+    base = stage("base", lambda: {"tables": tables, "artifacts": artifacts, "containers": containers, "ordered": A.run_order(acts)})
+    tables, artifacts, containers, ordered = (base[k] for k in ("tables", "artifacts", "containers", "ordered"))
+    sources = stage("sources", lambda: {
+        "refs": code_refs.source_references(artifacts, inputs.parts, local_scripts(inputs.local_files), mode)
+    })["refs"]
+
+    def layer(make: Callable[..., edges.LayerEdges]) -> dict[str, DataFrame]:
+        return vars(make(containers, tables, artifacts, sources, A.layer_transitions(ordered, tables, artifacts)))
 
-    gold = edges.gold_layer(containers, tables, artifacts, sources, transitions).kept()
-    silver = edges.silver_layer(containers, tables, artifacts, sources, transitions).kept()
+    gold = edges.LayerEdges(**stage("gold", lambda: layer(edges.gold_layer)))
+    silver = edges.LayerEdges(**stage("silver", lambda: layer(edges.silver_layer)))
     return Collection(
         artifacts=artifacts.where(F.col("type").isin(fixed.DOCUMENTED_TYPES)),
         containers=containers,

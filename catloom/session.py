@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +42,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_work: ContextVar[str | None] = ContextVar("catloom_work", default=None)
+
+
+@contextmanager
+def work_folder(folder: str) -> Iterator[None]:
+    """Let ``cut_lineage`` write below ``folder``, whose owner removes it."""
+    token = _work.set(folder)
+    try:
+        yield
+    finally:
+        _work.reset(token)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and go on from the files.
 
@@ -46,7 +62,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the planner sees true sizes and prunes columns.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_work.get() or checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

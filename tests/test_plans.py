@@ -5,9 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from catloom.operators import docs, edges, graph, measures, profile, views
+from catloom.operators import code_refs, docs, edges, factored, graph, measures, profile, views
+from catloom.plans import runs
 from catloom.plans.collect import WorkspaceInputs, collect_workspace
 from catloom.plans.governance import ReportInputs, build_graph, report_usage
+from catloom.sources.publish import TableSet
 
 GUID = "00000000-0000-0000-0000-000000000001"
 
@@ -112,3 +114,45 @@ def test_registered_queries(spark):
 
     assert entry.entry(spark).columns[0] == "report" and not entry.entry(spark).isEmpty()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_stopped_run_resumes(spark, tmp_path, monkeypatch):
+    root, calls = str(tmp_path / "space"), []
+    given = inputs(spark)
+    plain = {n: sorted(map(str, df.collect())) for n, df in collect_workspace(given).frames().items()}
+
+    def failing(*args):
+        raise RuntimeError("stopped")
+
+    references = code_refs.source_references
+    monkeypatch.setattr(code_refs, "source_references", lambda *a: calls.append("sources") or references(*a))
+    silver = edges.silver_layer
+    monkeypatch.setattr(edges, "silver_layer", failing)
+    with pytest.raises(RuntimeError, match="stopped"):
+        runs.run_workspace(spark, root, "monday", given)
+    assert {x for x in os.listdir(f"{root}/work/monday") if x.endswith(".done")} == {"base.done", "sources.done", "gold.done"}
+    monkeypatch.setattr(edges, "silver_layer", silver)
+    monkeypatch.setattr(edges, "gold_layer", failing)  # finished before: not made again
+    got = runs.run_workspace(spark, root, "monday", given)
+    assert calls == ["sources"] and os.listdir(f"{root}/work") == []
+    assert {n: sorted(map(str, df.collect())) for n, df in got.frames().items()} == plain
+    again = runs.run_workspace(spark, root, "monday", given)  # published: nothing is made
+    assert again.tables.count() == got.tables.count() and TableSet(spark, root).versions() == [1]
+    with pytest.raises(ValueError):
+        runs.run_workspace(spark, root, "../monday", given)
+
+
+def test_graph_from_layers(spark):
+    got = collect_workspace(inputs(spark))
+    reps = report_inputs(spark)
+    usage = report_usage(reps, got.tables)
+    ctx = graph.GraphContext("ws", "Space", "2024-01-01 00:00:00")
+    parts = dict(artifacts=got.artifacts, tables=got.tables, columns=got.columns, input_sets=got.input_sets, inputs=reps, usage=usage)
+    _, literal = build_graph(ctx, **parts, edges=got.edges)
+    objects, made = build_graph(ctx, **parts, layers=[got.gold, got.silver])
+    ids = lambda df: sorted(r.relationships_id for r in df.collect())
+    assert ids(factored.expand(ctx, made)) == ids(literal)
+    ends = made.select(F.col("target_objects_id").alias("objects_id"))
+    assert ends.join(objects, "objects_id", "left_anti").isEmpty()
+    with pytest.raises(ValueError):
+        build_graph(ctx, **parts)
