@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "g1_type_counts", "g2e_report_page_rollup", "g3e_page_tables", "g4e_unused_tables", "g5_lineage", "g6e_full_chain",
     "g2_report_page_rollup", "g6_full_chain", "profile_columns", "profile_sample", "code_refs", "dataflow_refs", "activity_order", "layer_transitions", "edges_gold",
-    "edges_silver", "measure_deps", "page_tables",
+    "edges_silver", "measure_deps", "page_tables", "edge_groups", "relationships",
 ]
 
 

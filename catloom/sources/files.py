@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catloom.functions import text
+from catloom.session import cut_lineage
 from catloom.sources.publish import Files
 
 # Output batches of the archive reader are closed at this many bytes of content.
@@ -74,53 +78,89 @@ def container_files(spark: SparkSession, folder: str, lh_id: str) -> DataFrame:
     return found.select(F.lit(lh_id).alias("lh_id"), inside.alias("name"), "size", "modified")
 
 
+_DIRECTORY = "archive string, ord bigint, path string, packed bigint, size bigint, problem string"
+READ_BYTES = 128 * 1024 * 1024  # packed bytes of members a task is meant to read
+
+
+def _opened(archive: str) -> zipfile.ZipFile:
+    """An archive of any size, opened where it lies; only the ranges that are asked for are read."""
+    store, name = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", archive), safe="/:@"))
+    return zipfile.ZipFile(store.open_input_file(name))
+
+
+def archive_directory(spark: SparkSession, paths: str | list[str], members: str = ".*") -> DataFrame:
+    """The members of zip archives whose path matches the pattern, from the archives' directories: archive, ord, path, packed and
+    unpacked size, problem. No member is read. An archive that cannot be opened gives one row with ``problem``.
+    """
+    archives = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("archive"))
+    pattern = re.compile(members)
+
+    def list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive in batch.column("archive").to_pylist():
+                try:
+                    with _opened(archive) as opened:
+                        rows = [
+                            (archive, i, x.filename, x.compress_size, x.file_size, None)
+                            for i, x in enumerate(opened.infolist()) if not x.is_dir() and pattern.search(x.filename)
+                        ]
+                except (zipfile.BadZipFile, OSError, ValueError) as error:
+                    rows = [(archive, None, None, None, None, str(error))]
+                if rows:
+                    yield _batch(rows, _DIRECTORY)
+
+    return archives.mapInArrow(list_members, _DIRECTORY)
+
+
 def read_archives(spark: SparkSession, paths: str | list[str], members: str = ".*") -> DataFrame:
     """Members of zip archives whose path matches the pattern: archive, ord, path, content, problem.
 
-    Archives are spread over tasks. A task opens one archive at a time and sends members on in bounded batches.
-    An archive or member that cannot be read gives a row with ``problem`` and no content.
+    The members are dealt to tasks by their packed size, whatever archive they are in, so one large archive is inflated by many tasks, each
+    reading its own ranges. Rows leave in bounded batches. An archive or member that cannot be read gives a row with ``problem`` and
+    no content.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    pattern = re.compile(members)
+    listed = cut_lineage(archive_directory(spark, paths, members))
+    bad = listed.where("problem is not null").select("archive", "ord", "path", F.lit(None).cast("binary").alias("content"), "problem")
+    good = listed.where("problem is null")
+    tasks = max(1, -(-(good.agg(F.sum("packed")).first()[0] or 0) // READ_BYTES), min(good.count(), spark.sparkContext.defaultParallelism))
+    # Members of about one task's bytes stand together, in the order of the archive.
+    share = Window.partitionBy("archive").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.floor(F.coalesce(F.sum("packed").over(share), F.lit(0)) / max(1, READ_BYTES // 8))
+    dealt = good.select("archive", "ord", step.alias("_step")).repartition(int(tasks), "archive", "_step").sortWithinPartitions("archive", "ord")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held = 0
+        held, at, opened, infos = 0, None, None, []
         for batch in batches:
-            for archive, body in zip(batch.column("path").to_pylist(), batch.column("content")):
-                for row in _members(archive, body.as_buffer(), pattern):
-                    rows.append(row)
-                    held += len(row[3] or b"")
-                    if held >= BATCH_BYTES:
-                        yield _batch(rows)
-                        rows, held = [], 0
+            for archive, ord_ in zip(batch.column("archive").to_pylist(), batch.column("ord").to_pylist()):
+                if archive != at:
+                    if opened is not None:
+                        opened.close()
+                    at, opened = archive, _opened(archive)
+                    infos = opened.infolist()
+                rows.append(_member(archive, ord_, opened, infos[ord_]))
+                held += len(rows[-1][3] or b"")
+                if held >= BATCH_BYTES:
+                    yield _batch(rows, _MEMBER_SCHEMA)
+                    rows, held = [], 0
         if rows:
-            yield _batch(rows)
+            yield _batch(rows, _MEMBER_SCHEMA)
 
-    return files.mapInArrow(unpack, _MEMBER_SCHEMA)
+    return dealt.mapInArrow(unpack, _MEMBER_SCHEMA).unionByName(bad)
 
 
-def _members(archive: str, body: pa.Buffer, pattern: re.Pattern) -> Iterator[tuple]:
+def _member(archive: str, ord_: int, opened: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple:
     try:
-        opened = zipfile.ZipFile(pa.BufferReader(body))
-    except zipfile.BadZipFile as error:
-        yield archive, None, None, None, str(error)
-        return
-    with opened:
-        for ord_, info in enumerate(opened.infolist()):
-            if info.is_dir() or not pattern.search(info.filename):
-                continue
-            try:
-                yield archive, ord_, info.filename, opened.read(info), None
-            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, ValueError) as error:
-                yield archive, ord_, info.filename, None, str(error)
+        return archive, ord_, info.filename, opened.read(info), None
+    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, ValueError) as error:
+        return archive, ord_, info.filename, None, str(error)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["archive", "ord", "path", "content", "problem"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-    cols = [pa.array(values, t) for values, t in zip(zip(*rows), types)]
-    return pa.RecordBatch.from_arrays(cols, names)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(field.split() for field in schema.split(", ")))
+    cols = [pa.array(values, kinds[t]) for values, t in zip(zip(*rows), types)]
+    return pa.RecordBatch.from_arrays(cols, list(names))
 
 
 def member_texts(members: DataFrame) -> DataFrame:
@@ -131,6 +171,17 @@ def member_texts(members: DataFrame) -> DataFrame:
     )
 
 
+def archive_parts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Definition files of archives as texts: archive, ord, path, content; the ``archive_parts`` of ``governance.ReportInputs``."""
+    return member_texts(read_archives(spark, paths, r"\.(json|pbir|tmdl)$"))
+
+
+def archive_layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Single-file layouts in archives, in whatever encoding: report_id (the archive), layout; the ``layouts`` of ``ReportInputs``."""
+    found = read_archives(spark, paths, r"(^|/)Layout$").where("problem is null")
+    return found.select(F.col("archive").alias("report_id"), json_in_some_encoding("content").alias("layout"))
+
+
 @F.arrow_udf(T.StringType())
 def json_in_some_encoding(bodies: pa.Array) -> pa.Array:
     """Bytes as the first decoding that is JSON: UTF-16-LE, UTF-8 with or without a byte order mark; else null."""

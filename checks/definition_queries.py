@@ -5,11 +5,18 @@ The documents are built from the given tables, so the SQL states what must come
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catloom.operators import code_refs, graph, items, measures, reports
-from catloom.sources import definitions
+from catloom.session import checkpoint_folder
+from catloom.sources import definitions, files
 from checks.compose import with_fixtures
 from checks.fixtures import fixture, table
 
@@ -162,6 +169,33 @@ def _known(s, d) -> DataFrame:
     return items.known_tables(fixture(s, d, "fx_tables"))
 
 
+def _write_zips(s, d) -> str:
+    """Every text as a JSON member of some archive, in one of three encodings; each task writes one archive. The folder."""
+    folder = f"{checkpoint_folder(s)}/zips-{uuid.uuid4().hex}"
+    rows = table(s, d, "documents").where("text is not null").select("doc_id", F.to_json(F.struct("text")).alias("body")).repartition(6, "doc_id")
+
+    def write(batches):
+        body, n = io.BytesIO(), 0
+        with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as out:
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
+                    out.writestr(f"n/{doc_id}.json", text.encode(("utf-8", "utf-8-sig", "utf-16-le")[doc_id % 3]))
+                    n += 1
+        store, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(path)
+        with store.open_output_stream(f"{path}/{uuid.uuid4().hex}.zip") as file:
+            file.write(body.getvalue())
+        yield pa.record_batch([pa.array([n])], ["n"])
+
+    rows.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _zipped_texts(s, d):
+    members = files.read_archives(s, f"{_write_zips(s, d)}/*.zip", r"\.json$")
+    return members.select("path", "problem", F.get_json_object(files.json_in_some_encoding("content"), "$.text").alias("text"))
+
+
 def _script_items(s, d) -> DataFrame:
     return table(s, d, "orders").select(_numbered("nb-", "o_orderkey").alias("id"), _numbered("Script ", "o_orderkey").alias("display_name"))
 
@@ -188,6 +222,7 @@ def _script_files(s, d) -> DataFrame:
 
 QUERIES = {
     "script_sources": lambda s, d: code_refs.pick_script_sources(_script_items(s, d), _script_parts(s, d), _script_files(s, d)),
+    "archive_members": _zipped_texts,
     "found_workspace": lambda s, d: items.find_workspace(
         table(s, d, "customer").select(F.col("c_custkey").alias("ord"), _numbered("w-", "c_custkey").alias("id"), F.col("c_mktsegment").alias("display_name")), "BUILDING"
     ),
@@ -232,6 +267,7 @@ SELECT concat('nb-', o_orderkey) AS id, concat('Script ', o_orderkey) AS display
   CASE WHEN o_orderkey % 3 = 0 THEN 'getDefinition' WHEN o_orderkey % 4 < 3 THEN 'local_file' ELSE 'none' END AS source_method,
   CASE WHEN o_orderkey % 3 = 0 THEN concat('code ', o_orderkey) WHEN o_orderkey % 4 = 1 THEN concat('book ', o_orderkey) WHEN o_orderkey % 4 < 3 THEN concat('py ', o_orderkey) END AS source
 FROM orders""",
+    "archive_members": "SELECT concat('n/', doc_id, '.json') AS path, NULL AS problem, text FROM documents WHERE text IS NOT NULL",
     "found_workspace": "SELECT c_custkey AS ord, concat('w-', c_custkey) AS id, c_mktsegment AS display_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1",
     "normalized_items": f"""
 SELECT c_custkey AS ord, concat('i-', c_custkey) AS id, concat(CASE c_custkey % 3 WHEN 0 THEN 'bronze_lh_' WHEN 1 THEN 'GOLD ' ELSE 'plain_' END, c_custkey) AS display_name,

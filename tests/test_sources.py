@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 from decimal import Decimal
 
@@ -320,3 +321,36 @@ def test_hidden_names_are_listed(spark, tmp_path):
     assert {x[0].split("/Files/")[1] for x in files._hidden_files(spark, root, True)} == {
         "_m.csv", ".h.csv", "_dir/x.csv", "_dir/deep/_y.csv", "sub/_c.csv", "sub/.more/d.csv"
     }
+
+
+def test_members_of_one_archive_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    bodies = {f"d/{i:03}.json": rng.randbytes(rng.choice([0, 10, 20_000])) for i in range(120)}
+    (tmp_path / "one.zip").write_bytes(zipped(bodies))
+    (tmp_path / "two words.zip").write_bytes(zipped({"d/x.json": b"{}", "d/": b""}))
+    torn = bytearray(zipped({"d/a.json": b"a" * 5000, "d/b.json": b"b" * 5000}))
+    torn[60:90] = b"\xff" * 30  # inside the first member
+    (tmp_path / "torn.zip").write_bytes(bytes(torn))
+    listed = files.archive_directory(spark, str(tmp_path / "*.zip"), r"\.json$")
+    sizes = {(r.archive.split("/")[-1], r.path): r["size"] for r in listed.collect()}
+    assert len(sizes) == 123 and sizes["one.zip", "d/007.json"] == len(bodies["d/007.json"])
+    monkeypatch.setattr(files, "READ_BYTES", 100_000)
+    monkeypatch.setattr(files, "BATCH_BYTES", 30_000)
+    read = files.read_archives(spark, str(tmp_path / "*.zip"), r"\.json$").withColumn("task", F.spark_partition_id())
+    rows = read.collect()
+    got = {r.path: bytes(r.content) for r in rows if r.archive.endswith("one.zip")}
+    assert got == bodies and len({r.task for r in rows if r.archive.endswith("one.zip")}) > 3
+    assert [r.ord for r in sorted((r for r in rows if r.archive.endswith("one.zip")), key=lambda r: r.path)] == list(range(120))
+    other = {(r.archive.split("/")[-1], r.path): (r.content, r.problem) for r in rows if not r.archive.endswith("one.zip")}
+    assert bytes(other["torn.zip", "d/b.json"][0]) == b"b" * 5000 and other["torn.zip", "d/a.json"][0] is None and other["torn.zip", "d/a.json"][1]
+    assert len(other) == 3 and any(v[0] == b"{}" for v in other.values())
+    assert files.archive_problems(read).count() == 1
+
+
+def test_parts_and_layouts_of_archives(spark, tmp_path):
+    layout = json.dumps({"sections": [{"name": "s"}]})
+    (tmp_path / "a.zip").write_bytes(zipped({"F\\F.Report\\definition.pbir": b"{}", "Report/Layout": layout.encode("utf-16-le"), "x.txt": b""}))
+    parts = files.archive_parts(spark, str(tmp_path / "*.zip")).collect()
+    assert [(r.ord, r.path, r.content) for r in parts] == [(0, "F/F.Report/definition.pbir", "{}")]
+    found = files.archive_layouts(spark, str(tmp_path / "*.zip")).collect()
+    assert [(r.report_id.split("/")[-1], r.layout) for r in found] == [("a.zip", layout)]
