@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from catloom.functions import text
 from catloom.functions.documents import with_json
 
+PAIR_PARTS = 200  # least number of parts that stored pairs are dealt over
+
 
 def decode_payload(payload: Column) -> Column:
     """Base64 payload as text; bad base64 gives null, bad UTF-8 bytes are replaced."""
@@ -64,10 +66,13 @@ def local_scripts(files: DataFrame) -> DataFrame:
 
 
 def stored_measure_deps(stored: DataFrame, known: DataFrame) -> DataFrame:
-    """Stored (measure_group, physical_table) pairs in lower case, for known tables only, without doubles."""
-    pairs = stored.select(
-        F.lower("measure_group").alias("measure_group"), F.lower("physical_table").alias("physical_table")
-    ).distinct()
+    """Stored (measure_group, physical_table) pairs in lower case, for known tables only, without doubles.
+
+    Pairs are dealt before doubles are dropped: a scan's task would else gather all pairs of its files first, in memory that grows with them.
+    """
+    pairs = stored.select(F.lower("measure_group").alias("measure_group"), F.lower("physical_table").alias("physical_table"))
+    parts = max(PAIR_PARTS, int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.repartition(parts, "measure_group", "physical_table").distinct()
     return pairs.join(known.select(F.col("known").alias("physical_table")), "physical_table", "left_semi").select(
         "measure_group", "physical_table"
     )
