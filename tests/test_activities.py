@@ -136,3 +136,16 @@ def test_name_rule_yields_to_covered_layer_for_notebooks_only(spark):
     assert transitions(spark, rows, ["Gold", "Silver"], arts) == {
         "n1": ("Silver", "Gold"), "n3": ("Bronze", "Silver"), "d1": ("Silver", "Gold"),
     }
+
+
+def test_pipeline_over_several_batches_and_no_list_of_a_pipeline(spark, capsys):
+    rows = random_rows(11, 12, 9)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        ordered = A.run_order(spark.createDataFrame(rows, SCHEMA))
+        assert {(r.pipeline_id, r.ord): r.position for r in ordered.collect()} == brute_force(rows)
+        ordered.explain()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "collect_list" not in capsys.readouterr().out
