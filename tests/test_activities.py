@@ -149,3 +149,25 @@ def test_pipeline_over_several_batches_and_no_list_of_a_pipeline(spark, capsys):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "collect_list" not in capsys.readouterr().out
+
+
+def test_nodes_that_met_their_root_look_nothing_up(spark, monkeypatch):
+    """Their empty pointers would share one task: no row without a pointer may enter the lookup of the next round."""
+    made = []
+    monkeypatch.setattr(A, "cut_lineage", lambda df: made.append(df) or df)
+    state = spark.range(8).selectExpr("struct('p' as pipeline_id, id as ord) as k", "if(id = 0, null, struct('p' as pipeline_id, id div 2 as ord)) as up", "1L as size", "if(id = 0, 0L, 1L) as level").localCheckpoint()
+    out = {r.k.ord: (r.up and r.up.ord, r.size, r.level) for r in A._doubled(state).collect()}
+    assert out == {0: (None, 2, 0), 1: (None, 3, 1), 2: (0, 3, 2), 3: (0, 3, 2), 4: (1, 1, 2), 5: (1, 1, 2), 6: (1, 1, 2), 7: (1, 1, 2)}
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join LeftOuter, (up"):].split("\n")[1:3]
+    assert any("isnotnull(" in line for line in left), plan
+
+
+def test_pipelines_without_open_activities_leave_the_rounds(spark, monkeypatch):
+    rows = [(0, "p", i, f"a{i}", "", w) for i, w in enumerate([[], ["a0"], ["a0"], ["a1", "a2"], ["a3"]])]
+    rows += [(1, "q", i, f"a{i}", "", [f"a{i - 1}"] if i else []) for i in range(4)]
+    seen, places = [], A._tree_places
+    monkeypatch.setattr(A, "_tree_places", lambda links: seen.append({r.p for r in links.select("k.pipeline_id").distinct().toDF("p").collect()}) or places(links))
+    got = {(r.pipeline_id, r.ord): r.position for r in A.run_order(spark.createDataFrame(rows, SCHEMA), group_rows=2).collect()}
+    assert got == brute_force(rows)
+    assert seen == [{"p", "q"}, {"p"}]
