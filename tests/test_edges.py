@@ -94,6 +94,31 @@ def test_expanded_inputs(spark):
     assert got["Sales", "nb_sales"] == ["lines"] and len(got) == 7
 
 
+def test_rows_of_an_edge_lie_in_one_task(spark):
+    inputs, files = world(spark)
+    sets = edges.input_sets(inputs[0], inputs[1], files)
+    wide = edges.expand_inputs(edges.gold_edges(*inputs), sets.withColumn("of_set", F.lit(True)), splits=16)
+    rows_ = wide.select("output_table", "notebook_name", "ref", "of_set", F.spark_partition_id().alias("task")).collect()
+    shared = [r for r in rows_ if r.of_set]
+    assert len({(r.output_table, r.notebook_name, r.task) for r in shared}) == len({(r.output_table, r.notebook_name) for r in shared})
+    assert len(shared) == 3 * len({(r.output_table, r.notebook_name) for r in shared})
+    assert {(r.ref, r.of_set) for r in rows_ if r.notebook_name == "nb_sales"} == {("lines", None)}
+
+
+def test_input_spans_with_numbered_names(spark):
+    from checks.lineage_queries import _input_spans
+
+    row = "block string, output_lh string, output_table string, notebook_name string, input_set string, input_refs array<string>"
+    rows_ = [("g", "l", "t", "n", "s", None), ("g", "l", "t", "n", None, ["b", "zz"]), ("g", "l", "u", None, "s", None), ("g", "l", "v", "n", None, [])]
+    sets = spark.createDataFrame(
+        [("s", "Z", (0, 0)), ("s", "\u00e9", (0, 1)), ("s", "c", (0, 2)), ("s", "c", (0, 3)), ("s", None, (0, 4))],
+        "input_set string, ref string, ref_ord struct<a:long,b:long>",
+    )
+    found = _input_spans(spark.createDataFrame(rows_, row), sets)
+    got = {(r.output_table, r.notebook_name): (r.n_inputs, r.first_ref, r.last_ref) for r in found.collect()}
+    assert got == {("t", "n"): (7, "Z", "\u00e9"), ("u", None): (5, "Z", "\u00e9")}
+
+
 def test_backfill_takes_the_last_edge(spark):
     inputs, _ = world(spark)
     layers = edges.gold_layer(*inputs), edges.silver_layer(*inputs)
