@@ -1,13 +1,15 @@
 """Disk of steps that are written: no shuffle files stay behind them, and kept frames can be let go."""
 
+import hashlib
 import os
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from catloom.functions import ranking
-from catloom.operators import reports
+from catloom.operators import graph, reports
 from catloom.session import cut_lineage, release
 
 
@@ -60,3 +62,16 @@ def test_tables_of_visuals_need_nothing_they_were_found_by(spark):
     names = {("v0", 1), ("v0", 2), ("v1", 3), ("v1", 4), ("v2", 5), ("v2", 6)}
     shown = {(p, "Card" if n == 1 else f"Card ({n})") for p, n in names}
     assert rows == sorted([(p, v, "t_1") for p, v in shown] + [(p, v, "x") for p, v in shown if p == "v2"])
+
+
+def test_usage_edges_are_made_distinct_before_their_ids(spark):
+    columns = "report_id string, page_id string, visual_name string, visual_type string, physical_table string"
+    shown = spark.createDataFrame([("r", "p", "v", "card", "t"), ("r", "p", "v", "card", "t"), ("r", "p", None, "card", "t"), ("r", "p", "", "card", "t"), ("r", "p", "w", "card", "u")], columns)
+    pages = spark.createDataFrame([("r", "p")], "report_id string, page_id string")
+    keys = spark.createDataFrame([("lh", "t", 1, "id-t")], "lh_key string, tname string, entry int, object_id string")
+    found = graph.usage_edges(graph.GraphContext("ws", "fx", "2024-01-01 00:00:00"), shown, pages, keys)
+    page = hashlib.sha256(b"r|p").hexdigest()
+    ids = [page, *(hashlib.sha256(f"{page}|{v}|card".encode()).hexdigest() for v in ("v", ""))]
+    assert sorted((r.source_objects_id, r.target_objects_id) for r in found.collect()) == sorted((i, "id-t") for i in ids)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*source#", plan)  # such a shuffle held two ids of 64 characters a row
