@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catloom.functions import ranking
-from catloom.operators import graph, reports
+from catloom.operators import factored, graph, reports, views
 from catloom.session import cut_lineage, release
 
 
@@ -75,3 +75,27 @@ def test_usage_edges_are_made_distinct_before_their_ids(spark):
     assert sorted((r.source_objects_id, r.target_objects_id) for r in found.collect()) == sorted((i, "id-t") for i in ids)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\([^)]*source#", plan)  # such a shuffle held two ids of 64 characters a row
+
+
+def test_literal_lineage_passes_no_shuffle_when_its_ends_are_known(spark):
+    objects = spark.createDataFrame(
+        [("a", "A", "Table", "Bronze"), ("b", "B", "Table", "Silver"), ("b", "B2", "Table", None), ("p", "P", "Page", None), (None, "N", "Table", "Gold")],
+        "objects_id string, item_name string, objects_type string, layer string",
+    )
+    edges = spark.createDataFrame(
+        [("a", "b", "derives_from"), ("a", "b", "derives_from"), ("lost", "b", "derives_from"), (None, "b", "derives_from"), ("p", "b", "uses"), ("a", "b", None)],
+        "source_objects_id string, target_objects_id string, relationships_type string",
+    ).selectExpr("*", "CAST(0.5 AS DECIMAL(5,4)) AS confidence_score", "'m' AS detection_method", "CAST(NULL AS STRING) AS transformation_expr")
+    ends = factored.feed_ends(edges)
+    assert {r.objects_id for r in ends.collect()} == {"a", "b", "lost", None}
+    rows = [sorted(map(str, views.lineage(objects, edges, ends=e).collect())) for e in (None, ends)]
+    assert rows[0] == rows[1] and len(rows[0]) == 8
+    feeds = views.lineage(objects, edges.where("relationships_type = 'derives_from'"), ordered=False, ends=ends)
+    plan = feeds._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+
+
+def test_ends_that_are_too_many_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(factored, "SEND_ENDS", 1)
+    edges = spark.createDataFrame([("a", "b", "member_of"), ("c", "d", "uses")], "source_objects_id string, target_objects_id string, relationships_type string")
+    assert factored.feed_ends(edges) is None
